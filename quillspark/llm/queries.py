@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from .lookalikes import same_look
 from .survivors import survivor_fields
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +17,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivor_fields(table(spark, folder, "corpus"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    cites, corpus = table(spark, folder, "verify_citations"), table(spark, folder, "corpus")
+    return same_look(cites, corpus, "cite_id", "rec_id", "workspace", "title")
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
+    "p5_found": p5_found,
 }
 
 ORACLE: dict[str, str] = {}
