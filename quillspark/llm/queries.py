@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from .encoding import encode
 from .lookalikes import same_look
 from .survivors import survivor_fields
 
@@ -22,9 +23,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_look(cites, corpus, "cite_id", "rec_id", "workspace", "title")
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p5_found": p5_found,
+    "p6_ids": p6_ids,
 }
 
 ORACLE: dict[str, str] = {}
