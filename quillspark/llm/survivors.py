@@ -74,15 +74,20 @@ def _trust(policy: Policy, source: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), source), F.lit(policy.other_trust))
 
 
+#: Fields by the number that stands for them in the shuffled votes; 0 stands for the group itself.
+GROUP, YEAR, CITED_BY, FOUND_VIA, SCREENING = range(5)
+_SEPARATOR = "\x00"
+
+
 def field_votes(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """(workspace, key, field, value, tier, votes, latest): summed votes of each value of each field.
+    """Summed votes of each value of each field of each group: g1, g2, field, value, votes, newest, latest.
 
-    Rows without workspace or key are dropped; '' counts as NULL.  Copies, rows
-    equal in all voted fields and in ``seen_at``, vote once; the pseudo field
-    '#' counts all rows, copies included.
+    (g1, g2) is a 128-bit hash of workspace and key, which only the row of
+    field 0 spells out; that row's votes count the group's rows, copies
+    included.  newest orders by tier and then by time, latest by time and then
+    by tier.  Rows without workspace or key are dropped; '' counts as NULL.
+    Copies, rows equal in all voted fields and in ``seen_at``, vote once.
     """
-    seen = F.col("seen_at")
-    vias = labels(F.col("found_via"))
     base = (
         rows.where((F.col("workspace") != "") & (F.col("key") != ""))
         .select(
@@ -90,10 +95,10 @@ def field_votes(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
             "key",
             "year",
             "cited_by",
-            F.array_sort(vias).alias("vias"),
+            F.array_join(F.array_sort(labels(F.col("found_via"))), "+").alias("vias"),
             decision(F.col("screening.status")).alias("decision"),
             F.coalesce(F.lower(F.col("screening.stage")) == "full_text", F.lit(False)).alias("full"),
-            F.coalesce(F.unix_micros(seen.cast("timestamp")), F.lit(0)).alias("seen"),
+            F.greatest(F.coalesce(F.unix_micros(F.col("seen_at").cast("timestamp")), F.lit(0)), F.lit(0)).alias("seen"),
         )
         .groupBy("workspace", "key", "year", "cited_by", "vias", "decision", "full", "seen")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -101,33 +106,34 @@ def field_votes(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     # Weights relative to a fixed moment: their ratios inside a group don't depend on it.
     days = F.col("seen") / 86_400e6 - 18_262  # days since 2020-01-01
     decay = F.pow(F.lit(2.0), days / policy.half_life_days)
-    source = F.coalesce(F.get("vias", F.lit(0)), F.lit(""))
+    vias = F.filter(F.split("vias", r"\+"), lambda x: x != "")
+    source = F.coalesce(F.get(vias, F.lit(0)), F.lit(""))
     latest_year = F.when(F.col("seen") > 0, F.year(F.timestamp_micros("seen")) + 1).otherwise(F.lit(9998))
     believable = lambda y: (y >= policy.min_year) & (y <= latest_year)
-    vote = lambda name, value, tier, weight: F.struct(
-        F.lit(name).alias("field"), value.cast("string").alias("value"), tier.cast("int").alias("tier"), weight.alias("weight")
+    vote = lambda field, value, tier, weight: F.struct(
+        F.lit(field).cast("tinyint").alias("field"), value.cast("string").alias("value"), tier.cast("bigint").alias("tier"), weight.alias("weight")
     )
     from_key = key_year(F.col("key"))
     count = F.col("cited_by")
     votes = F.concat(
         F.array(
-            vote("#", F.lit(None), F.lit(0), F.col("n").cast("double")),
-            vote("year", F.when(believable(F.col("year")), F.col("year")), F.lit(1), _trust(policy, source) * decay),
-            vote("year", F.when(believable(from_key), from_key), F.lit(0), decay * policy.identifier_trust),
+            vote(GROUP, F.concat_ws(_SEPARATOR, "workspace", "key"), F.lit(0), F.col("n").cast("double")),
+            vote(YEAR, F.when(believable(F.col("year")), F.col("year")), F.lit(1), _trust(policy, source) * decay),
+            vote(YEAR, F.when(believable(from_key), from_key), F.lit(0), decay * policy.identifier_trust),
             # Counts don't fall: a zero beside positive counts means a source that has none.
-            vote("cited_by", F.when(count.between(0, policy.max_citations), count), (count > 0), _trust(policy, source) * decay),
-            vote("screening", F.col("decision"), F.col("full"), decay),
+            vote(CITED_BY, F.when(count.between(0, policy.max_citations), count), (count > 0), _trust(policy, source) * decay),
+            vote(SCREENING, F.col("decision"), F.col("full"), decay),
         ),
-        F.transform("vias", lambda v: vote("found_via", v, F.lit(0), _trust(policy, v) * decay)),
+        F.transform(vias, lambda v: vote(FOUND_VIA, v, F.lit(0), _trust(policy, v) * decay)),
     )
     return (
-        base.select("workspace", "key", "seen", F.inline(votes))
-        .where(F.col("value").isNotNull() | (F.col("field") == "#"))
-        .groupBy("workspace", "key", "field", "value")
+        base.select(F.xxhash64("workspace", "key").alias("g1"), F.xxhash64("key", F.lit(1), "workspace").alias("g2"), "seen", F.inline(votes))
+        .where(F.col("value").isNotNull())
+        .groupBy("g1", "g2", "field", "value")
         .agg(
             F.sum("weight").alias("votes"),
-            F.max(F.struct("tier", "seen")).alias("newest"),
-            F.max(F.struct("seen", "tier")).alias("latest"),
+            F.max(F.col("tier") * F.lit(1 << 52) + F.col("seen")).alias("newest"),
+            F.max(F.col("seen") * 2 + F.col("tier")).alias("latest"),
         )
     )
 
@@ -142,17 +148,21 @@ def survivors(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     fill is NULL.  Empty input gives an empty result.
     """
     votes = field_votes(rows, policy)
-    value, is_ = F.col("value"), lambda name: F.col("field") == name
+    value, is_ = F.col("value"), lambda field: F.col("field") == field
     # Sums of doubles depend on the order of rows; rounded logarithms don't.
     score = F.round(F.log2("votes"), 6)
-    pick = lambda name, order: F.max_by(F.when(is_(name), value), F.when(is_(name), order))
-    return votes.groupBy("workspace", "key").agg(
-        F.max(F.when(is_("#"), F.col("votes"))).cast("bigint").alias("n_rows"),
-        pick("year", F.when(F.col("newest.tier") == 1, F.struct(score, F.col("latest.seen"), value))).cast("int").alias("year"),
-        pick("cited_by", F.struct(F.col("newest"), score, value.cast("bigint").alias("v"))).cast("bigint").alias("cited_by"),
-        F.array_join(F.array_sort(F.collect_set(F.when(is_("found_via"), value))), "+").alias("_via"),
-        pick("screening", F.struct(F.col("latest"), score, value)).alias("screening"),
-    ).select("workspace", "key", "n_rows", "year", "cited_by", F.expr("nullif(_via, '')").alias("found_via"), "screening")
+    stated = F.col("newest") >= 1 << 52
+    pick = lambda which, *order: F.max_by(value, F.when(which, F.struct(*order, value.alias("value"))))
+    best = votes.groupBy("g1", "g2").agg(
+        F.max(F.when(is_(GROUP), value)).alias("group"),
+        F.max(F.when(is_(GROUP), F.col("votes"))).cast("bigint").alias("n_rows"),
+        pick(is_(YEAR) & stated, score, F.col("latest")).cast("int").alias("year"),
+        pick(is_(CITED_BY), F.col("newest"), score, value.try_cast("bigint").alias("number")).cast("bigint").alias("cited_by"),
+        F.array_join(F.array_sort(F.collect_set(F.when(is_(FOUND_VIA), value))), "+").alias("vias"),
+        pick(is_(SCREENING), F.col("latest"), score).alias("screening"),
+    )
+    parts = F.split("group", _SEPARATOR, 2)
+    return best.select(parts[0].alias("workspace"), parts[1].alias("key"), "n_rows", "year", "cited_by", F.expr("nullif(vias, '')").alias("found_via"), "screening")
 
 
 def survivor_fields(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
