@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 from .encoding import encode
 from .lookalikes import same_look
+from .quality import junk, statistics
 from .survivors import survivor_fields
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,10 +28,20 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(table(spark, folder, "documents"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return junk(table(spark, folder, "documents")).select("doc_id")
+
+
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return statistics(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
+    "p8_found": p8_found,
+    "p8_statistics": p8_statistics,
 }
 
 ORACLE: dict[str, str] = {}
