@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 from .encoding import encode
 from .lookalikes import same_look
+from .packing import pack, token_counts
 from .quality import junk, statistics
 from .survivors import survivor_fields
 
@@ -28,6 +29,12 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(table(spark, folder, "documents"))
 
 
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = token_counts(table(spark, folder, "documents"))
+    packs = table(spark, folder, "pack_sizes").selectExpr("pack_id as pack", "capacity_tokens as capacity")
+    return pack(sizes, packs).selectExpr("pack as pack_id", "capacity", "bin as bin_id", "doc as doc_id", "piece", "start as start_token", "size as n_tokens")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return junk(table(spark, folder, "documents")).select("doc_id")
 
@@ -40,6 +47,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
+    "p7_packed": p7_packed,
     "p8_found": p8_found,
     "p8_statistics": p8_statistics,
 }
