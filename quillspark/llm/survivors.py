@@ -80,12 +80,12 @@ _SEPARATOR = "\x00"
 
 
 def field_votes(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Summed votes of each value of each field of each group: g1, g2, field, value, votes, newest, latest.
+    """Summed votes of each value of each field of each group: g1, g2, field, value, votes, newest.
 
     (g1, g2) is a 128-bit hash of workspace and key, which only the row of
     field 0 spells out; that row's votes count the group's rows, copies
-    included.  newest orders by tier and then by time, latest by time and then
-    by tier.  Rows without workspace or key are dropped; '' counts as NULL.
+    included.  newest orders by tier and then by time, for decisions by time and
+    then by tier.  Rows without workspace or key are dropped; '' counts as NULL.
     Copies, rows equal in all voted fields and in ``seen_at``, vote once.
     """
     base = (
@@ -132,8 +132,7 @@ def field_votes(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
         .groupBy("g1", "g2", "field", "value")
         .agg(
             F.sum("weight").alias("votes"),
-            F.max(F.col("tier") * F.lit(1 << 52) + F.col("seen")).alias("newest"),
-            F.max(F.col("seen") * 2 + F.col("tier")).alias("latest"),
+            F.max(F.when(F.col("field") == SCREENING, F.col("seen") * 2 + F.col("tier")).otherwise(F.col("tier") * F.lit(1 << 52) + F.col("seen"))).alias("newest"),
         )
     )
 
@@ -156,10 +155,10 @@ def survivors(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     best = votes.groupBy("g1", "g2").agg(
         F.max(F.when(is_(GROUP), value)).alias("group"),
         F.max(F.when(is_(GROUP), F.col("votes"))).cast("bigint").alias("n_rows"),
-        pick(is_(YEAR) & stated, score, F.col("latest")).cast("int").alias("year"),
+        pick(is_(YEAR) & stated, score, F.col("newest")).cast("int").alias("year"),
         pick(is_(CITED_BY), F.col("newest"), score, value.try_cast("bigint").alias("number")).cast("bigint").alias("cited_by"),
         F.array_join(F.array_sort(F.collect_set(F.when(is_(FOUND_VIA), value))), "+").alias("vias"),
-        pick(is_(SCREENING), F.col("latest"), score).alias("screening"),
+        pick(is_(SCREENING), F.col("newest"), score).alias("screening"),
     )
     parts = F.split("group", _SEPARATOR, 2)
     return best.select(parts[0].alias("workspace"), parts[1].alias("key"), "n_rows", "year", "cited_by", F.expr("nullif(vias, '')").alias("found_via"), "screening")
