@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 from .encoding import encode
+from .linkage import corpus_year, match, result_year
 from .lookalikes import same_look
 from .packing import pack, token_counts
 from .quality import junk, statistics
@@ -20,6 +22,20 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivor_fields(table(spark, folder, "corpus"))
 
 
+def _p4(spark: SparkSession, folder: str) -> DataFrame:
+    results = table(spark, folder, "epmc_results").select(F.col("result_id").alias("id"), "title", result_year().alias("year"))
+    corpus = table(spark, folder, "corpus").select(F.col("rec_id").alias("id"), "title", corpus_year().alias("year"))
+    return match(results, corpus)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _p4(spark, folder).select(F.col("right_id").alias("rec_id"), F.col("left_id").alias("result_id"))
+
+
+def p4_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return _p4(spark, folder).select(F.col("right_id").alias("rec_id"), F.col("left_id").alias("result_id"), "score", "confidence")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     cites, corpus = table(spark, folder, "verify_citations"), table(spark, folder, "corpus")
     return same_look(cites, corpus, "cite_id", "rec_id", "workspace", "title")
@@ -45,6 +61,8 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
+    "p4_found": p4_found,
+    "p4_matches": p4_matches,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
