@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .encoding import encode
+from .history import repeats
 from .linkage import corpus_year, match, result_year
 from .lookalikes import same_look
 from .packing import pack, token_counts
@@ -22,6 +23,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivor_fields(table(spark, folder, "corpus"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    corpus = table(spark, folder, "corpus")
+    # All but the newest tenth of the batches are history that one bulk load takes in.
+    last = corpus.agg(F.expr("percentile_disc(0.9) within group (order by batch_no)")).first()[0]
+    found = repeats(corpus, [(None, last), (last, None)] if last is not None else [(None, None)])
+    return found.select(F.least("rec_id", "accepted").alias("rec_id_a"), F.greatest("rec_id", "accepted").alias("rec_id_b"))
+
+
 def _p4(spark: SparkSession, folder: str) -> DataFrame:
     results = table(spark, folder, "epmc_results").select(F.col("result_id").alias("id"), "title", result_year().alias("year"))
     corpus = table(spark, folder, "corpus").select(F.col("rec_id").alias("id"), "title", corpus_year().alias("year"))
@@ -61,6 +70,7 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_matches": p4_matches,
     "p5_found": p5_found,

@@ -18,6 +18,9 @@ import zlib
 from dataclasses import dataclass
 from functools import cache, lru_cache
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .lookalikes import INVISIBLE, tables
 
 #: Bits of a title's vector and of the chunks by which it is indexed.
@@ -49,10 +52,9 @@ _VERSION = re.compile(r"[ :,.\-–—]*[(\[](?:preprint|version \d+|v\d+|accepte
 #: Last words of the endings above: other titles need not be searched for them.
 _LAST = frozenset("women men girls boys males females spring summer autumn fall winter plan protocol sample baseline followup up endline wave phase round i ii iii iv v vi".split())
 _FIRST = ("corr", "erra", "repl", "resp", "auth", "comm", "retr", "prot", "with", "expr", "revi", "edit")
-_END = re.compile(r"([^\W_]+)[)\]]?$")
+_pieces = re.compile(r"[\W_]+(?=.)").split
 _TAG = re.compile(r"</?[a-z][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
-_PLAIN = re.compile(r"[ -~]*")
 
 
 @dataclass(frozen=True)
@@ -71,6 +73,10 @@ def _map() -> dict[int, str | None]:
 
 
 _hidden = re.compile(INVISIBLE)
+_MARKS = re.compile("[\u0300-\u036f]+")
+#: Greek letters that stand alone are spelled out, as in beta-carotene.
+_GREEK_NAMES = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ω": "omega"}
+_GREEK = re.compile(r"(?<![^\W\d_])[αΑβΒγΓδΔωΩ](?![^\W\d_])")
 
 
 def _cyrillic(text: str) -> bool:
@@ -82,10 +88,12 @@ def read(title: str | None) -> Title:
     t = title or ""
     if "&" in t:
         t = html.unescape(t).replace("&", " and ")
-    if not _PLAIN.fullmatch(t):
-        t = unicodedata.normalize("NFC", _hidden.sub("", t)).translate(_map())
-        t = "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
-    t = t.lower().replace("ø", "o")
+    if not t.isascii():
+        t = _GREEK.sub(lambda found: _GREEK_NAMES[found[0].lower()], _hidden.sub("", t))
+        t = unicodedata.normalize("NFC", t).translate(_map())
+        t = _MARKS.sub("", unicodedata.normalize("NFD", t))
+        t = t.replace("ø", "o").replace("Ø", "O")
+    t = t.lower()
     if "<" in t:
         t = _TAG.sub("", t)
     t = " ".join(t.split())
@@ -100,8 +108,8 @@ def read(title: str | None) -> Title:
         if t[-1:] in ")]" and (found := _VERSION.search(t)):
             t = t[: found.start()].strip(" .;,")
             continue
-        last = _END.search(t)
-        if not cut and last and (last[1] in _LAST or last[1].isdigit()):
+        last = _pieces(t[-14:])[-1].rstrip(")]")
+        if not cut and (last in _LAST or last[-1:].isdigit()):
             for kind, pattern in _ENDINGS:
                 found = pattern.search(t)
                 if found and found.start() > 0:
@@ -140,3 +148,10 @@ def vector(words: tuple[str, ...]) -> int:
 def quarters(bits: int) -> list[int]:
     """The bits as four signed 64-bit numbers."""
     return list(struct.unpack("<4q", bits.to_bytes(BITS // 8, "little")))
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Two words are the same but for one letter, two that changed places, or an ending of two."""
+    letters = lambda w: F.array_sort(F.split(w, ""))
+    away = F.levenshtein(a, b, 2)
+    return away.isin(0, 1) | ((away == 2) & ((letters(a) == letters(b)) | a.startswith(b) | b.startswith(a)))
