@@ -14,6 +14,7 @@ from .linkage import corpus_year, match, result_year
 from .lookalikes import same_look
 from .packing import pack, token_counts
 from .quality import junk, statistics
+from .scans import documents, repairs
 from .survivors import survivor_fields
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,20 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivor_fields(table(spark, folder, "corpus"))
 
 
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "fulltext_pages").selectExpr("page_id", "fulltext_path as path", "page_no", "page_text as text")
+    read = table(spark, folder, "read_paper").where("fulltext_path is not null").select(F.col("fulltext_path").alias("path")).distinct()
+    return pages.join(read, "path", "left_semi")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repairs(_pages(spark, folder))[0]
+
+
+def p2_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return documents(repairs(_pages(spark, folder))[1]).select(F.col("path").alias("fulltext_path"), "text")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     corpus = table(spark, folder, "corpus")
     # All but the newest tenth of the batches are history that one bulk load takes in.
@@ -70,6 +85,8 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_texts": p2_texts,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_matches": p4_matches,
