@@ -22,7 +22,7 @@ class CorpusTable:
         """Merge a batch and write the next version; earlier records keep their decisions."""
         if self.version is not None and number <= self.version:
             return
-        rows = batch.dropDuplicates()
+        rows = batch.dropDuplicates([*self.keys, *self.order])
         now = self.read()
         base = rows.limit(0) if now is None else now
         for c in self.order:
