@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -77,7 +78,7 @@ def plain_doi(text: str | None) -> str | None:
         doi = cut
 
 
-_NODES = "ord bigint, keys array<bigint>, scope bigint, title string"
+_CLEAN = re.compile(r"10\.\d{4,9}/[a-z0-9][a-z0-9\-_.]*(?:/[a-z0-9\-_.]+)*(?<=[a-z0-9]\d{3})")
 
 
 def file_keys(rows: DataFrame, how: Neighbourhood) -> DataFrame:
@@ -87,46 +88,49 @@ def file_keys(rows: DataFrame, how: Neighbourhood) -> DataFrame:
     workspace.  scope: hash of workspace and marker; title: the title's content
     words.  Both are NULL for generic titles.
     """
+    kinds = ("openalex", "pmid", "pmcid", "arxiv")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        def number(*parts: str) -> int:
-            h = xxhash.xxh64_intdigest("\x00".join(parts))
-            return h - (h >> 63 << 64)
-
         least = how.least_words
+        known: dict[str | None, tuple] = {}
         for batch in batches:
-            orders, spaces, names, dois, others, titles = (batch.column(k).to_pylist() for k in range(6))
-            keys, scopes, texts = [], [], []
-            known: dict[str, tuple] = {}
-            for space, name, doi, other, title in zip(spaces, names, dois, others, titles, strict=True):
+            dois, markers, bags, texts = [], [], [], []
+            if len(known) > 50_000:
+                known.clear()
+            for name, doi, title in zip(*(batch.column(c).to_pylist() for c in ("key", "doi", "title")), strict=True):
                 t = known.get(title)
                 if t is None:
                     parts = read(title)
                     good = len(parts.words) >= least
-                    t = known[title] = (parts.marker, " ".join(sorted(parts.words)), " ".join(parts.words)) if good else ()
-                own = [number(space, kind, value) for kind, value in other if value]
-                if (d := plain_doi(doi) or plain_doi(name)) is not None:
-                    own.append(number(space, "doi", d))
-                elif name and not t and (":" in name or len(name) >= 25):
-                    own.append(number(space, "key", name))
-                if t:
-                    own.append(number(space, "title", t[0], t[1]))
-                keys.append(own)
-                scopes.append(number(space, t[0]) if t else None)
-                texts.append(t[2] if t else None)
-            arrays = [batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(scopes, pa.int64()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["ord", "keys", "scope", "title"])
-
-    entries = F.map_entries(F.map_filter("ids", lambda k, v: ~k.isin("doi", "arxiv") & (v != "")))
-    arxiv = F.regexp_replace(F.element_at("ids", "arxiv"), r"v\d+$", "")
-    pairs = F.concat(
-        F.coalesce(F.transform(entries, lambda e: F.array(e.key, F.lower(e.value))), F.array().cast("array<array<string>>")),
-        F.array(F.array(F.lit("arxiv"), arxiv)),
+                    t = known[title] = (parts.marker, " ".join(sorted(parts.words)), " ".join(parts.words)) if good else (None, None, None)
+                markers.append(t[0])
+                bags.append(t[1])
+                texts.append(t[2])
+                low = doi.lower() if doi else ""
+                d = low if _CLEAN.fullmatch(low) else plain_doi(doi) or plain_doi(name)
+                dois.append(d or (f"key {name}" if t[0] is None and name and (":" in name or len(name) >= 25) else None))
+            new = [pa.array(x, pa.string()) for x in (dois, markers, bags, texts)]
+            kept = ["ord", "space", *kinds]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, "plain", "marker", "bag", "words"])
+
+    narrow = rows.select(
+        "ord",
+        F.xxhash64("workspace").alias("space"),
+        *(F.lower(F.expr(f"nullif(ids['{k}'], '')")).alias(k) for k in kinds[:-1]),
+        F.regexp_replace(F.expr("nullif(ids['arxiv'], '')"), r"v\d+$", "").alias("arxiv"),
+        "key",
+        F.element_at("ids", "doi").alias("doi"),
+        "title",
+    )
+    text = ", ".join(f"{c} string" for c in (*kinds, "plain", "marker", "bag", "words"))
+    filed = narrow.mapInArrow(run, f"ord bigint, space bigint, {text}")
+    number = lambda kind, *values: F.when(F.col(values[-1]).isNotNull(), F.xxhash64("space", F.lit(kind), *values))
+    return filed.select(
+        "ord",
+        F.array_compact(F.array(*(number(k, k) for k in kinds), number("doi", "plain"), number("title", "marker", "bag"))).alias("keys"),
+        number("scope", "marker").alias("scope"),
+        F.col("words").alias("title"),
     )
-    narrow = rows.select("ord", "workspace", "key", F.element_at("ids", "doi").alias("doi"), pairs.alias("others"), "title")
-    return narrow.mapInArrow(run, _NODES)
 
 
 class History:
@@ -145,7 +149,8 @@ class History:
     def _read(self, ranges: list[int]) -> DataFrame | None:
         if not self.runs:
             return None
-        rows = self.spark.read.schema("block bigint, title string, ord bigint, range int").parquet(*self.runs)
+        reader = self.spark.read.schema("block bigint, title string, ord bigint, range int")
+        rows = reduce(DataFrame.union, (reader.parquet(path) for path in self.runs))
         return rows if len(ranges) >= self.how.ranges else rows.where(F.col("range").isin(ranges))
 
     def _write(self, entries: DataFrame) -> str:
