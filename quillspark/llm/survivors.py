@@ -95,7 +95,7 @@ def field_votes(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
             "key",
             "year",
             "cited_by",
-            F.array_join(F.array_sort(labels(F.col("found_via"))), "+").alias("vias"),
+            F.coalesce(F.array_join(F.array_sort(labels(F.col("found_via"))), "+"), F.lit("")).alias("vias"),
             decision(F.col("screening.status")).alias("decision"),
             F.coalesce(F.lower(F.col("screening.stage")) == "full_text", F.lit(False)).alias("full"),
             F.greatest(F.coalesce(F.unix_micros(F.col("seen_at").cast("timestamp")), F.lit(0)), F.lit(0)).alias("seen"),
