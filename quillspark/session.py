@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Settings that change results or plans. ``LAST_WIN`` gives map union its update semantics.
@@ -28,3 +32,20 @@ def build(master: str | None = None, app: str = "quillspark", **conf: str) -> Sp
 def table(spark: SparkSession, folder: str, name: str):
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application, so that they need no path to it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="quill-ship-")) / "quillspark.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, path.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
