@@ -11,11 +11,11 @@ from ..session import table
 from .encoding import encode
 from .history import repeats
 from .linkage import corpus_year, match, result_year
-from .lookalikes import same_look
+from .lookalikes import form_sql, same_look
 from .packing import pack, token_counts
 from .quality import junk, statistics
 from .scans import documents, repairs
-from .survivors import survivor_fields
+from .survivors import TRUST, survivor_fields
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,4 +97,34 @@ QUERIES: dict[str, Query] = {
     "p8_statistics": p8_statistics,
 }
 
-ORACLE: dict[str, str] = {}
+_TRUST = " ".join(f"when '{label}' then {weight}" for label, weight in TRUST.items())
+_BEST_YEAR = "row_number() over (partition by workspace, key order by round(log2(sum(weight)), 6) desc, max(tier * 4503599627370496 + seen) desc, value desc)"
+
+ORACLE: dict[str, str] = {
+    "p1_found": rf"""
+with rows as (select workspace, key, year, cited_by,
+  list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(coalesce(found_via, '')), '[\s\p{{Z}}]+', '', 'g'), '+'), lambda x: x <> ''))) vias,
+  case when trim(lower(screening.status)) in ('include', 'included') then 'included' when trim(lower(screening.status)) in ('exclude', 'excluded') then 'excluded' end decision,
+  coalesce(lower(screening.stage) = 'full_text', false) late, coalesce(epoch_us(seen_at), 0) seen
+  from corpus where workspace <> '' and key <> ''),
+base as (select workspace, key, year, cited_by, vias, decision, late, seen, count(*) n, pow(2.0, (seen / 86400e6 - 18262) / 1460.0) decay,
+  case coalesce(vias[1], '') {_TRUST} else 0.8 end trust,
+  coalesce(try_cast(nullif(regexp_extract(key, '^10\..*\.((?:19|20)\d\d)\.', 1), '') as int),
+   case when try_cast(nullif(regexp_extract(key, '^10\..*\((\d\d)\)', 1), '') as int) > 40 then 1900 else 2000 end + try_cast(nullif(regexp_extract(key, '^10\..*\((\d\d)\)', 1), '') as int)) stated,
+  case when seen > 0 then year(make_timestamp(seen)) + 1 else 9998 end latest from rows group by all),
+big as (select workspace, key from base group by 1, 2 having sum(n) >= 2),
+years as (select workspace, key, value, max(tier) tier, {_BEST_YEAR} place from (
+  select workspace, key, year as value, 1 as tier, seen, trust * decay as weight from base where year between 1500 and latest
+  union all select workspace, key, stated, 0, seen, decay * 0.22 from base where stated between 1500 and latest) group by workspace, key, value having max(tier) = 1),
+counts as (select workspace, key, arg_max(cited_by, {{'t': cited_by > 0, 's': seen, 'c': cited_by}}) value from base where cited_by between 0 and 1000000 group by 1, 2),
+via as (select workspace, key, string_agg(distinct label, '+' order by label) value from (select workspace, key, unnest(vias) label from base) group by 1, 2),
+decided as (select workspace, key, arg_max(decision, {{'s': seen, 'f': late, 'd': decision}}) value from base where decision is not null group by 1, 2)
+select workspace, key, field, value from big join (
+ select workspace, key, 'year' as field, cast(value as varchar) as value from years where place = 1
+ union all select workspace, key, 'cited_by', cast(value as varchar) from counts
+ union all select workspace, key, 'found_via', value from via
+ union all select workspace, key, 'screening', value from decided) using (workspace, key)""",
+    "p5_found": f"""
+with a as (select cite_id, workspace, title, {form_sql("title")} form from verify_citations), b as (select rec_id, workspace, title, {form_sql("title")} form from corpus)
+select cite_id, rec_id from a join b on a.workspace = b.workspace and a.form = b.form and a.title <> b.title where a.form <> ''""",
+}
