@@ -11,9 +11,10 @@ from ..storage import materialise
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): the least node of its component, for every node of the edges (a, b) of bigint.
 
-    Contraction: each node moves to its least neighbour and on to that one's
-    least neighbour, edges follow, and loops and copies disappear, until no edge
-    is left; the second step makes the rounds logarithmic even on a chain.  NULL ends and loops are ignored; no
+    Contraction: each node moves to its least neighbour, on to that one's least
+    neighbour and so on by pointer doubling until it stands on a local minimum;
+    edges follow, loops and copies disappear, until no edge is left.  Doublings
+    and rounds are logarithmic, on a chain too.  NULL ends and loops are ignored; no
     edges give no rows.
     """
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
@@ -21,8 +22,13 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     while edges.limit(1).count():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = materialise(both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("root")), f"{name}-step")
-        onward = step.select(F.col("node").alias("root"), F.col("root").alias("end"))
-        move = materialise(step.join(onward, "root").select("node", F.col("end").alias("root")), f"{name}-move")
+        while True:
+            onward = step.select(F.col("node").alias("root"), F.col("root").alias("end"))
+            move = materialise(step.join(onward, "root").select("node", F.col("end").alias("root"), (F.col("end") != F.col("root")).alias("moved")), f"{name}-move")
+            step = move.select("node", "root")
+            if move.where("moved").isEmpty():
+                break
+        move = step
         moves.append(move)
         to_a = move.select(F.col("node").alias("a"), F.col("root").alias("x"))
         to_b = move.select(F.col("node").alias("b"), F.col("root").alias("y"))
