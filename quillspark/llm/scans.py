@@ -1,6 +1,7 @@
 """Repairing text from scanned pages.
 
-1. Skip-gram vectors are learned from the words of all pages.
+1. Skip-gram vectors are learned from the words of all pages.  Frequent words that
+   are misreadings of far more frequent ones don't count as known words.
 2. A rare word is linked to a far more frequent word that it becomes by undoing
    one or two glyph confusions, if the two are neighbours among the vectors.
 3. Where several frequent words are possible, the words around decide.
@@ -133,6 +134,28 @@ def restored(word: str, vocabulary: dict[str, int], glyphs: tuple = GLYPHS, dept
     return found
 
 
+def likely(word: str, n: int, known: dict[str, int], vector: dict[str, np.ndarray], how: Scan = Scan()) -> list[str]:
+    """Known words that ``word``, seen ``n`` times, is likely a misreading of; the most frequent one first."""
+    if len(word) < 2 or not any(c.isalpha() for c in word):
+        return []
+    fit = []
+    for other in restored(word, known, how.glyphs):
+        near = 1.0 if word not in vector or other not in vector else float(vector[word] @ vector[other])
+        if known[other] >= n * how.odds and near >= how.near:
+            fit.append(other)
+    return sorted(fit, key=lambda o: -known[o])
+
+
+def without_misread(frequent: dict[str, int], vector: dict[str, np.ndarray], how: Scan = Scan()) -> dict[str, int]:
+    """The frequent words that aren't misreadings of others that recur; the most frequent words are decided first."""
+    most = max(frequent.values(), default=0)
+    kept: dict[str, int] = {}
+    for word, n in sorted(frequent.items(), key=lambda x: (-x[1], x[0])):
+        if n * how.odds > most or _ROMAN_ONLY.match(word) or not likely(word, n, kept, vector, how):
+            kept[word] = n
+    return kept
+
+
 def misread_number(token: str) -> bool:
     """Whether a token is a number with letters for digits in it."""
     for piece in re.split(r"[-–/.,:()=<>%\[\]²]", clean(token)):
@@ -254,23 +277,18 @@ def repairs(pages: DataFrame, how: Scan = Scan()) -> tuple[DataFrame, DataFrame]
     least = max(how.least, total // how.vocabulary)
     frequent = {r.word: r.n for r in counts.where((F.col("n") >= least) & F.col("word").rlike(r"^[\p{L}][\p{L}'’\-]*$")).collect()}  # at most how.vocabulary words
     space = vectors(pages, max(least, 10), how) if total else {}
-    shared = spark.sparkContext.broadcast((frequent, space))
+    shared = spark.sparkContext.broadcast((without_misread(frequent, space, how), space))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, vector = shared.value
+        most = max(known.values(), default=0)
         for batch in batches:
             words, tos = [], []
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if n * how.odds > max(known.values(), default=0) or len(word) < 2 or not any(c.isalpha() for c in word):
-                    continue
-                fit = []
-                for other in restored(word, known, how.glyphs):
-                    near = 1.0 if word not in vector or other not in vector else float(vector[word] @ vector[other])
-                    if known[other] >= n * how.odds and near >= how.near:
-                        fit.append(other)
+                fit = likely(word, n, known, vector, how) if n * how.odds <= most else []
                 if fit:
                     words.append(word)
-                    tos.append(sorted(fit, key=lambda o: -known[o])[:8])
+                    tos.append(fit[:8])
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(tos, pa.list_(pa.string()))], ["word", "tos"])
 
     links = counts.mapInArrow(linked, "word string, tos array<string>")

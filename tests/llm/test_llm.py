@@ -108,6 +108,17 @@ def test_scan_parts():
     assert scans.mask("Journal of Data, vol. 12 (2O3)") == scans.mask("Journa1 of Data, vol. 7 (4)")
 
 
+def test_misreadings_that_recur_are_found(spark):
+    lines = [f"{k} the committee asked for a clearer account of storage" for k in range(120)]
+    lines += [f"{k} the cornmittee asked for a clearer account of storage" for k in range(120, 127)]
+    pages = spark.createDataFrame([(p, "a", p + 1, "\n".join(lines[p::10])) for p in range(10)], "page_id bigint, path string, page_no int, text string")
+    kinds, repaired = scans.repairs(pages)
+    got = {(r.page_id, r.line_no) for r in kinds.where("kind = 'misread'").collect()}
+    assert got == {(k % 10, k // 10 + 1) for k in range(120, 127)}
+    assert "cornmittee" not in scans.documents(repaired).first().text
+    assert scans.without_misread({"were": 500, "wcre": 30, "vvcre": 7, "where": 40, "ii": 9, "u": 500}, {}) == {"were": 500, "where": 40, "ii": 9, "u": 500}
+
+
 # Problem 3
 
 
