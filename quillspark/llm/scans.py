@@ -291,7 +291,6 @@ def repairs(pages: DataFrame, how: Scan = Scan()) -> tuple[DataFrame, DataFrame]
                     tos.append(fit[:8])
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(tos, pa.list_(pa.string()))], ["word", "tos"])
 
-    links = counts.mapInArrow(linked, "word string, tos array<string>")
     known_pages = pages.join(furniture(pages, how), "page_id")
     after = known_pages.select("path", (F.col("page_no") - 1).alias("page_no"), F.col("page_id").alias("next_id"), F.col("text").alias("next_text"), F.col("lines").alias("next_lines"))
     # The text of the next page is needed up to its first line of body only.
@@ -333,6 +332,9 @@ def repairs(pages: DataFrame, how: Scan = Scan()) -> tuple[DataFrame, DataFrame]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("page_id", "line_no", "word")] + [pa.array(best, pa.string())], ["page_id", "line_no", "word", "right"])
 
     words = found.where("word is not null")
+    # Suspects that no line has inside were still seen once.
+    seen = words.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("n"))
+    links = seen.mapInArrow(linked, "word string, tos array<string>")
     fixes = words.join(links, "word", "left").where("tos is not null or alien").select("page_id", "line_no", "word", "tos", "context")
     fixes = materialise(fixes.mapInArrow(chosen, "page_id bigint, line_no int, word string, right string"), "fixes")
     misread = fixes.select("page_id", "line_no", F.lit("misread").alias("kind")).distinct()

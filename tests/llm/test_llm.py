@@ -119,6 +119,16 @@ def test_misreadings_that_recur_are_found(spark):
     assert scans.without_misread({"were": 500, "wcre": 30, "vvcre": 7, "where": 40, "ii": 9, "u": 500}, {}) == {"were": 500, "where": 40, "ii": 9, "u": 500}
 
 
+def test_misreadings_at_line_ends_are_found(spark):
+    lines = [f"{k} all of the committee asked for a clearer account of storage" for k in range(60)]
+    lines += ["cornmittee asked for a clearer account of the committee", "storage and a clearer account of the accounf", "cornmiftee", "Zubranofu asked for storage"]
+    pages = spark.createDataFrame([(1, "a", 1, "\n".join(lines))], "page_id bigint, path string, page_no int, text string")
+    kinds, repaired = scans.repairs(pages)
+    assert {r.line_no for r in kinds.where("kind = 'misread'").collect()} == {61, 62, 63}
+    text = scans.documents(repaired).first().text
+    assert text.endswith("committee asked for a clearer account of the committee storage and a clearer account of the account committee Zubranofu asked for storage")
+
+
 # Problem 3
 
 
