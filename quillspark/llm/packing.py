@@ -206,7 +206,7 @@ def pack(sizes: DataFrame, packs: DataFrame, how: Evolution = Evolution()) -> Da
     capacity have no rows.  The same input gives the same packing.
     """
     packs = packs.where("capacity > 0")
-    items = sizes.select("doc", F.greatest(F.coalesce(F.col("n_tokens"), F.lit(0)), F.lit(0)).alias("n")).crossJoin(F.broadcast(packs.limit(1000)))
+    items = sizes.select("doc", F.greatest(F.coalesce(F.col("n_tokens"), F.lit(0)), F.lit(0)).alias("n")).crossJoin(F.broadcast(packs))
     full = F.floor(F.col("n") / F.col("capacity")).cast("int")
     rest = (F.col("n") % F.col("capacity")).cast("int")
     whole = items.where(full > 0).select("pack", "capacity", "doc", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"), F.col("capacity").alias("size"))

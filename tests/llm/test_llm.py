@@ -310,6 +310,13 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), packs, how).count() == 0
 
 
+def test_packing_takes_every_capacity(spark):
+    packs = spark.createDataFrame([(i, 7) for i in range(1200)], "pack int, capacity int")
+    df = spark.createDataFrame([(1, 12)], "doc bigint, n_tokens bigint")
+    rows = packing.pack(df, packs, packing.Evolution(islands=1, epochs=1, rounds=1)).collect()
+    assert sorted((r.pack, r.start, r.size) for r in rows) == [(i, start, size) for i in range(1200) for start, size in ((0, 7), (7, 5))]
+
+
 # Problem 8
 
 
