@@ -1,18 +1,24 @@
 """Repairing text from scanned pages.
 
-1. Skip-gram vectors are learned from the words of all pages.  Frequent words that
-   are misreadings of far more frequent ones don't count as known words.
-2. A rare word is linked to a far more frequent word that it becomes by undoing
-   one or two glyph confusions, if the two are neighbours among the vectors.
-3. Where several frequent words are possible, the words around decide.
-4. Running headers, footers and page numbers are removed: lines at the edge of a
+1. Running headers, footers and page numbers are found: lines at the edge of a
    page whose mask (digits and confusable glyphs folded) recurs at edges only.
+2. Words are counted over the body of all pages.  A rare word and a far more
+   frequent one are a candidate pair if the first is the second with plausible
+   glyph confusions; pairs meet by a key of pen strokes that all confusable
+   glyphs share, so no candidate is missed however many slips a word has.
+3. Skip-gram vectors are learned for both words of every pair: the words around
+   each occurrence are added up as hashed directions, rarer ones with more
+   weight (Sahlgren's random indexing of skip-gram pairs).  Words seen once have a
+   vector too, and nothing is held on the driver.
+4. The vectors decide on a pair: where they are near, a small lead in frequency
+   is enough, elsewhere it must be large.  Of several words the one that fits the
+   words around an occurrence is taken.
 5. Words cut at a line end are joined if the corpus knows the whole word, and
    the lines are set into paragraphs again.
 
-The words that are looked up in Python are those seen often enough that at most
-``Scan.vocabulary`` of them can exist, so that broadcast is bounded; all other
-tables are joined by shuffles.
+The vocabulary is a table.  Each page asks for the words it holds and gets them
+back by joins, so nothing that grows with the corpus is collected or broadcast
+by hand.
 """
 
 from __future__ import annotations
@@ -21,10 +27,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise
@@ -41,49 +49,52 @@ DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1", "i": "1", "Z": "2", "z": "2",
 HYPHENS, SOFT = "-‐‑­¬", "­¬"
 
 
+#: Strokes of the glyphs above, the same for what is printed and what is read instead.
+STROKES = str.maketrans({
+    "e": "e", "c": "e", "(": "e", "é": "e", "o": "o", "0": "o", "ö": "o", "a": "a", "ɑ": "a", "g": "g", "q": "g", "9": "g", "z": "z", "2": "z",
+    "i": "l", "l": "l", "1": "l", "!": "l", "|": "l", "ì": "l", "í": "l", "n": "rl", "m": "rrl", "d": "el", "w": "vv",
+    "t": "ll", "f": "ll", "s": "ll", "ſ": "ll", "5": "ll", "8": "ll", "b": "ll", "6": "ll", "h": "ll", "u": "ll",
+})
+
+
 @dataclass(frozen=True)
 class Scan:
     """Parameters.
 
-    vocabulary: most frequent words that can exist: a word is frequent from
-    total / vocabulary occurrences on, and from ``least`` on.  odds: times a
-    word must be more frequent than the one corrected to it.  near: least cosine
-    between the vectors of two linked words that both have one.  recurs,
-    edge_share: occurrences at page edges, and their share of all, from which a
-    line is furniture.  top, bottom: lines of a page that count as edge.
+    least: occurrences from which a word is known.  odds: times a word must be
+    more frequent than the one corrected to it; ``close_odds`` are enough where
+    the cosine of their vectors is at least ``close``.
+    recurs, edge_share: occurrences at page edges, and their share of all, from
+    which a line is furniture.  top, bottom: lines of a page that count as edge.
     size, window: of the vectors.
     """
 
-    vocabulary: int = 200_000
     least: int = 6
-    odds: float = 15.0
-    near: float = 0.2
+    odds: float = 30.0
+    close_odds: float = 4.0
+    close: float = 0.3
     recurs: int = 4
     edge_share: float = 0.85
     top: int = 2
     bottom: int = 4
-    size: int = 32
+    size: int = 128
     window: int = 3
     glyphs: tuple = field(default=GLYPHS)
 
 
-_PIECE = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_TOKEN = re.compile(r"\S+")
 _EDGE = " \t.,;:?\"”“'’)]}[{%*…"
-_LETTERS = re.compile(r"[^\W\d_]+")
 #: A letter run with a sign inside that no word has.
 _ALIEN = re.compile(r"(?<=[^\W\d_])(?:[0156892!|](?=[a-zé]|$)|\((?=[a-z])|[ſɑ])|[ſɑ]|^(?:[0156892!](?=[a-z]{2,}))")
 _KNOWN_MIX = re.compile(r"(?:\d+(?:st|nd|rd|th|s)|[A-Z]{1,3}\d+[A-Z]?\d*|[a-zA-Z]\d{1,3})$")
 _DIGITLIKE = re.compile(r"[0-9OolIiZzSsBbGgqQ!|]+$")
 _ROMAN = r"(?:[ivxl]{1,5}|[IVXL]{1,5})"
-_NUMBERISH = r"(?:[0-9OolIZzSsB!|]{1,5}|" + _ROMAN + r")"
+_NUMBERISH = r"(?:[0-9OolIiZzSsB!|]{1,5}|" + _ROMAN + r")"
 _ROMAN_ONLY = re.compile(r"[ivxl]{1,6}$")
 _PAGE_NUMBER = re.compile(rf"[\s\-–—|(\[]*(?:(?:page|p\.?|pg\.?|[Pp]agc|seite|página)\s*)?{_NUMBERISH}(?:\s*(?:of|/|ot|oſ)\s*{_NUMBERISH})?[\s\-–—|\])]*$", re.IGNORECASE)
-_FOLD = str.maketrans({"1": "l", "i": "l", "!": "l", "|": "l", "ì": "l", "í": "l", "0": "o", "5": "s", "8": "b", "6": "b", "9": "g", "q": "g", "2": "z", "c": "e", "(": "e", "f": "t", "ſ": "t", "h": "b", "ɑ": "a"})
 
 
 def mask(line: str) -> str:
-    """A line with numbers masked and confusable glyphs folded together."""
+    """A line with numbers masked and the other tokens as their strokes."""
     out = []
     for token in line.lower().split():
         core = token.strip(_EDGE + "(")
@@ -91,8 +102,7 @@ def mask(line: str) -> str:
         if core and (_ROMAN_ONLY.match(core) or digits * 2 > len(core) or (digits and _DIGITLIKE.match(core)) or (len(core) <= 2 and _DIGITLIKE.match(core))):
             out.append("#")
         else:
-            t = token.replace("rn", "m").replace("cl", "d").replace("vv", "w").replace("ri", "n").replace("ii", "u").replace("li", "h")
-            out.append(t.translate(_FOLD))
+            out.append(strokes(token))
     return " ".join(out)
 
 
@@ -112,58 +122,80 @@ def pieces(token: str) -> list[str]:
     return [p for p in re.split(r"[-‐‑/–—]", clean(token)) if p]
 
 
-def restored(word: str, vocabulary: dict[str, int], glyphs: tuple = GLYPHS, depth: int = 2) -> dict[str, int]:
-    """Frequent words that ``word`` becomes by undoing at most ``depth`` confusions, with their number."""
-    found: dict[str, int] = {}
-    layer = {word}
-    for step in range(1, depth + 1):
-        following: set[str] = set()
-        for w in layer:
-            for printed, seen in glyphs:
-                at = w.find(seen)
-                while at >= 0:
-                    x = w[:at] + printed + w[at + len(seen) :]
-                    if x in vocabulary:
-                        found.setdefault(x, step)
-                    following.add(x)
-                    at = w.find(seen, at + 1)
-        if found or len(following) > 400:
-            break
-        layer = following
-    found.pop(word, None)
+def headed(line: str) -> bool:
+    """Whether a wide gap sets a page number off from the rest of the line, as running heads do."""
+    parts = re.split(r"[ \t]{3,}", line.strip())
+    return len(parts) == 2 and sum(bool(re.fullmatch(_NUMBERISH, x)) for x in parts) == 1
+
+
+@lru_cache(maxsize=8)
+def _confusions(glyphs: tuple) -> dict[str, list[tuple[str, str]]]:
+    """Glyphs by the first letter printed; raises if a pair doesn't keep the strokes."""
+    found: dict[str, list[tuple[str, str]]] = {}
+    for printed, seen in glyphs:
+        if strokes(printed) != strokes(seen):
+            raise ValueError(f"{printed!r} and {seen!r} have different strokes")
+        found.setdefault(printed[0], []).append((printed, seen))
     return found
 
 
-def likely(word: str, n: int, known: dict[str, int], vector: dict[str, np.ndarray], how: Scan = Scan()) -> list[str]:
-    """Known words that ``word``, seen ``n`` times, is likely a misreading of; the most frequent one first."""
-    if len(word) < 2 or not any(c.isalpha() for c in word):
-        return []
-    fit = []
-    for other in restored(word, known, how.glyphs):
-        near = 1.0 if word not in vector or other not in vector else float(vector[word] @ vector[other])
-        if known[other] >= n * how.odds and near >= how.near:
-            fit.append(other)
-    return sorted(fit, key=lambda o: -known[o])
+def strokes(word: str) -> str:
+    """The pen strokes of a word: the same for a word and for all its misreadings."""
+    return word.translate(STROKES)
+
+
+def slips(printed: str, seen: str, glyphs: tuple = GLYPHS) -> int | None:
+    """Least number of confusions that turn ``printed`` into ``seen``; None if they can't."""
+    pairs = _confusions(glyphs)
+    best = {(0, 0): 0}
+    layer = [(0, 0)]
+    # Every step goes on in the printed word, so states are visited by rising place in it.
+    while layer:
+        layer.sort()
+        i, j = layer.pop(0)
+        cost = best[i, j]
+        if i == len(printed) or j == len(seen):
+            continue
+        steps = [(1, 1, cost)] if printed[i] == seen[j] else []
+        steps += [(len(a), len(b), cost + 1) for a, b in pairs.get(printed[i], ()) if printed.startswith(a, i) and seen.startswith(b, j)]
+        for di, dj, c in steps:
+            at = (i + di, j + dj)
+            if at not in best:
+                layer.append(at)
+                best[at] = c
+            elif c < best[at]:
+                best[at] = c
+    return best.get((len(printed), len(seen)))
+
+
+def plausible(printed: str, seen: str, glyphs: tuple = GLYPHS) -> bool:
+    """Whether ``seen`` may be a misreading of ``printed``: at most one slip, and one more for every three letters."""
+    n = slips(printed, seen, glyphs)
+    return n is not None and 0 < n <= 1 + len(printed) // 3
+
+
+def _repaired_number(token: str) -> str | None:
+    """A token whose numbers have letters for digits, with the digits; None if it has none."""
+    found = False
+    out = []
+    for piece in re.split(r"([-–/.,:()=<>%\[\]²])", token):
+        core = piece.strip(_EDGE) if piece else piece
+        if core and _letter_digits(core):
+            found = True
+            piece = piece.replace(core, "".join(DIGITS.get(c, c) for c in core))
+        out.append(piece)
+    return "".join(out) if found else None
 
 
-def without_misread(frequent: dict[str, int], vector: dict[str, np.ndarray], how: Scan = Scan()) -> dict[str, int]:
-    """The frequent words that aren't misreadings of others that recur; the most frequent words are decided first."""
-    most = max(frequent.values(), default=0)
-    kept: dict[str, int] = {}
-    for word, n in sorted(frequent.items(), key=lambda x: (-x[1], x[0])):
-        if n * how.odds > most or _ROMAN_ONLY.match(word) or not likely(word, n, kept, vector, how):
-            kept[word] = n
-    return kept
+def _letter_digits(piece: str) -> bool:
+    if _DIGITLIKE.match(piece) and any(c.isdigit() for c in piece) and not piece.isdigit() and not re.match(r"\d+[sS]?$|[a-zA-Z]\d+$", piece):
+        return True
+    return bool(re.match(r"\d+[lOoIZzSB]$|[lOZzSIB]\d+$", piece)) and not re.match(r"(?:19|20)\d0s$|[IB]\d$", piece)
 
 
 def misread_number(token: str) -> bool:
     """Whether a token is a number with letters for digits in it."""
-    for piece in re.split(r"[-–/.,:()=<>%\[\]²]", clean(token)):
-        if _DIGITLIKE.match(piece) and any(c.isdigit() for c in piece) and not piece.isdigit() and not re.match(r"\d+[sS]?$|[a-zA-Z]\d+$", piece):
-            return True
-        if re.match(r"\d+[lOoIZzSB]$|[lOZzSIB]\d+$", piece) and not re.match(r"(?:19|20)\d0s$|[IB]\d$", piece):
-            return True
-    return False
+    return _repaired_number(clean(token)) is not None
 
 
 def _lines(text: str) -> list[str]:
@@ -176,8 +208,13 @@ def _edges(lines: list[str], how: Scan) -> tuple[list[int], list[int]]:
     return full, sorted({*full[: how.top], *full[max(0, len(full) - how.bottom) :]})
 
 
+def _rows(out: list[tuple], names: str, *kinds: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names.split())
+
+
 def _masks(pages: DataFrame, how: Scan) -> DataFrame:
-    """(page_id, path, line, mask, edge) of the lines that are short enough for a header."""
+    """(page_id, path, line, mask, edge) of the lines that aren't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,315 +223,407 @@ def _masks(pages: DataFrame, how: Scan) -> DataFrame:
                 lines = _lines(text)
                 full, edge = _edges(lines, how)
                 edge_set = set(edge)
-                out += [(page, path, k + 1, mask(lines[k]), True) for k in edge if len(lines[k]) < 100]
-                out += [(page, path, k + 1, mask(lines[k]), False) for k in full if k not in edge_set and len(lines[k]) < 100]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "path", "line", "mask", "edge"])
+                # Of a line that is no edge only the count of its mask matters.
+                out += [(page if k in edge_set else None, path if k in edge_set else None, k + 1, xxhash.xxh64_intdigest(mask(lines[k])) >> 1, k in edge_set) for k in full]
+            yield _rows(out, "page_id path line mask edge", pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_())
 
-    return pages.select("page_id", "path", "text").mapInArrow(run, "page_id bigint, path string, line int, mask string, edge boolean")
+    return pages.select("page_id", "path", "text").mapInArrow(run, "page_id bigint, path string, line int, mask bigint, edge boolean")
+
+
+def marked_lines(lines: list[str], often: list[int] | None, how: Scan = Scan()) -> list[int]:
+    """Numbers of the lines that are furniture: inwards from either edge while lines are."""
+    full, _ = _edges(lines, how)
+    marked = {n - 1 for n in often or []}
+    hit: set[int] = set()
+    for side in (full[: how.top], full[::-1][: how.bottom]):
+        for k in side:
+            if k not in marked and not page_number(lines[k]) and not headed(lines[k]):
+                break
+            hit.add(k + 1)
+    return sorted(hit)
 
 
 def furniture(pages: DataFrame, how: Scan = Scan()) -> DataFrame:
-    """(page_id, lines): the line numbers of running headers, footers and page numbers of each page that has any."""
+    """(page_id, lines, first_no, first, last): numbers of the lines that are running headers, footers and page
+    numbers of each page, and its first and last line of body."""
     masks = materialise(_masks(pages, how), "masks")
-    everywhere = masks.groupBy("mask").agg(F.count_if("edge").alias("edges"), F.count(F.lit(1)).alias("n"))
+    everywhere = masks.groupBy("mask").agg(F.count_if("edge").alias("edges"), F.count(F.lit(1)).alias("n")).where("edges > 0")
     by_path = masks.where("edge").groupBy("path", "mask").agg(F.count_distinct("page_id").alias("pages"))
     edges = masks.where("edge").join(everywhere, "mask").join(by_path, ["path", "mask"])
     share = F.col("edges") >= F.col("n") * how.edge_share
     only = F.col("edges") == F.col("n")
-    flagged = edges.withColumn("often", share & ((F.col("edges") >= how.recurs) | (only & (F.col("pages") >= 2)))).groupBy("page_id").agg(
-        F.collect_list(F.when(F.col("often"), F.col("line"))).alias("often")
-    )
+    often = edges.where(share & ((F.col("edges") >= how.recurs) | (only & (F.col("pages") >= 2))))
+    flagged = often.groupBy("page_id").agg(F.collect_list("line").alias("often"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, oftens = (batch.column(k).to_pylist() for k in range(3))
-            found = []
-            for text, often in zip(texts, oftens, strict=True):
-                lines = _lines(text)
-                full, _ = _edges(lines, how)
-                marked = {n - 1 for n in often or []}
-                hit: list[int] = []
-                # Furniture lies outside of the body: go inwards from either edge while lines are furniture.
-                for run_of in (full[: how.top], full[::-1][: how.bottom]):
-                    for k in run_of:
-                        if k in marked or page_number(lines[k]):
-                            hit.append(k + 1)
-                        else:
-                            break
-                found.append(sorted(set(hit)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["page_id", "lines"])
+            out = []
+            for page, text, marks in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                gone = marked_lines(_lines(text), marks, how)
+                body = _body(text, gone)
+                out.append((page, gone, body[0][0] if body else None, body[0][1] if body else None, body[-1][1] if body else None))
+            yield _rows(out, "page_id lines first_no first last", pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.string())
 
     joined = pages.select("page_id", "text").join(flagged, "page_id", "left").select("page_id", "text", "often")
-    return joined.mapInArrow(run, "page_id bigint, lines array<int>")
-
-
-def word_counts(pages: DataFrame) -> DataFrame:
-    """(word, n): words of the lines' inner tokens in lower case; hyphenated ones whole and in pieces."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter[str] = Counter()
-            for text in batch.column("text").to_pylist():
-                for line in _lines(text):
-                    for token in line.split()[1:-1]:
-                        word = clean(token).lower()
-                        if word:
-                            counts[word] += 1
-                            if "-" in word:
-                                counts.update(p for p in word.split("-") if p)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-    return pages.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vectors(pages: DataFrame, least: int, how: Scan = Scan()) -> dict[str, np.ndarray]:
-    """Unit skip-gram vectors of the words seen ``least`` times or more, whose number ``how.vocabulary`` bounds."""
-    from pyspark.ml.feature import Word2Vec  # not needed by the executors
+    return joined.mapInArrow(run, "page_id bigint, lines array<int>, first_no int, first string, last string")
 
-    words = F.filter(F.split(F.lower(F.regexp_replace("line", r"[^\p{L}\p{N}!ſɑ()\-]+", " ")), " "), lambda w: w != "")
-    lines = pages.select(F.explode(F.split("text", r"\r\n?|\n")).alias("line")).select(words.alias("words")).where("size(words) > 2")
-    parts = max(1, min(32, pages.sparkSession.sparkContext.defaultParallelism))
-    model = Word2Vec(vectorSize=how.size, windowSize=how.window, minCount=least, maxIter=1, numPartitions=parts, stepSize=0.05, seed=11, inputCol="words", outputCol="v").fit(lines)
-    found = {r.word: np.asarray(r.vector.toArray(), np.float32) for r in model.getVectors().collect()}
-    return {w: v / n for w, v in found.items() if (n := float(np.linalg.norm(v))) > 0}
 
+def _body(text: str, lines: list[int] | None) -> list[tuple[int, str]]:
+    gone = set(lines or [])
+    return [(k, line) for k, line in enumerate(_lines(text), 1) if line.strip() and k not in gone]
 
-def repairs(pages: DataFrame, how: Scan = Scan()) -> tuple[DataFrame, DataFrame]:
-    """What is wrong on the pages (page_id, path, page_no, text), and the pages' repaired text.
 
-    First (page_id, line_no, kind) with the kinds furniture, split and misread;
-    then (page_id, path, page_no, text, joins): paragraphs separated by a blank
-    line, and whether the last word goes on on the next page.  NULL, empty and
-    blank pages have no rows in the first and empty text in the second; a line
-    is counted from 1, blank ones included.
-    """
-    spark = pages.sparkSession
-    pages = pages.select("page_id", "path", "page_no", F.coalesce("text", F.lit("")).alias("text"))
-    counts = materialise(word_counts(pages), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(how.least, total // how.vocabulary)
-    frequent = {r.word: r.n for r in counts.where((F.col("n") >= least) & F.col("word").rlike(r"^[\p{L}][\p{L}'’\-]*$")).collect()}  # at most how.vocabulary words
-    space = vectors(pages, max(least, 10), how) if total else {}
-    shared = spark.sparkContext.broadcast((without_misread(frequent, space, how), space))
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, vector = shared.value
-        most = max(known.values(), default=0)
-        for batch in batches:
-            words, tos = [], []
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fit = likely(word, n, known, vector, how) if n * how.odds <= most else []
-                if fit:
-                    words.append(word)
-                    tos.append(fit[:8])
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(tos, pa.list_(pa.string()))], ["word", "tos"])
-
-    known_pages = pages.join(furniture(pages, how), "page_id")
-    after = known_pages.select("path", (F.col("page_no") - 1).alias("page_no"), F.col("page_id").alias("next_id"), F.col("text").alias("next_text"), F.col("lines").alias("next_lines"))
-    # The text of the next page is needed up to its first line of body only.
-    after = after.withColumn("next_text", F.array_join(F.slice(F.split("next_text", r"\r\n?|\n"), 1, 12), "\n"))
-    sheets = materialise(known_pages.join(after, ["path", "page_no"], "left"), "sheets")
-
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (page_id, line, word, context, alien): tokens that may be misread; and splits as word NULL."""
-        known, _ = shared.value
-        for batch in batches:
-            out: list[tuple] = []
-            table = batch.to_pydict()
-            for page, text, lines, next_id, next_text, next_lines in zip(*(table[c] for c in ("page_id", "text", "lines", "next_id", "next_text", "next_lines")), strict=True):
-                for line, word, context, alien in _suspects(page, text, lines, next_text, next_lines, known, how):
-                    target = page
-                    if line < 0:  # on the next page
-                        target, line = next_id, -line
-                    out.append((target, line, word, context, alien))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "line_no", "word", "context", "alien"])
-
-    found = materialise(sheets.mapInArrow(suspects, "page_id bigint, line_no int, word string, context array<string>, alien boolean"), "suspects")
-    splits = found.where("word is null").select("page_id", "line_no", F.lit("split").alias("kind"))
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, vector = shared.value
-        for batch in batches:
-            best = []
-            for tos, context in zip(batch.column("tos").to_pylist(), batch.column("context").to_pylist(), strict=True):
-                if not tos:
-                    best.append(None)
-                    continue
-                around = [vector[w] for w in context or [] if w in vector]
-                if len(tos) > 1 and around:
-                    mean = np.mean(around, axis=0)
-                    tos = sorted(tos, key=lambda o: -float(vector[o] @ mean) if o in vector else 0.0)
-                best.append(tos[0])
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("page_id", "line_no", "word")] + [pa.array(best, pa.string())], ["page_id", "line_no", "word", "right"])
-
-    words = found.where("word is not null")
-    # Suspects that no line has inside were still seen once.
-    seen = words.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("n"))
-    links = seen.mapInArrow(linked, "word string, tos array<string>")
-    fixes = words.join(links, "word", "left").where("tos is not null or alien").select("page_id", "line_no", "word", "tos", "context")
-    fixes = materialise(fixes.mapInArrow(chosen, "page_id bigint, line_no int, word string, right string"), "fixes")
-    misread = fixes.select("page_id", "line_no", F.lit("misread").alias("kind")).distinct()
-    furn = known_pages.select("page_id", F.explode("lines").alias("line_no"), F.lit("furniture").alias("kind"))
-    kinds = furn.unionByName(splits.distinct()).unionByName(misread)
-
-    per_page = fixes.where("right is not null").groupBy("page_id").agg(F.collect_set(F.struct("line_no", "word", "right")).alias("fixes"))
-    cut = splits.groupBy("page_id").agg(F.collect_set("line_no").alias("cut"))
-    ready = sheets.select("page_id", "path", "page_no", "text", "lines").join(per_page, "page_id", "left").join(cut, "page_id", "left")
-
-    def reflowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = batch.to_pydict()
-            texts, joins = [], []
-            for text, lines, fixed, at in zip(table["text"], table["lines"], table["fixes"], table["cut"], strict=True):
-                repl: dict[int, dict[str, str]] = {}
-                for f in fixed or []:
-                    repl.setdefault(f["line_no"], {})[f["word"]] = f["right"]
-                flowed, more = reflow(text, set(lines or []), repl, set(at or []))
-                texts.append(flowed)
-                joins.append(more)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("path"), batch.column("page_no"), pa.array(texts, pa.string()), pa.array(joins, pa.bool_())], ["page_id", "path", "page_no", "text", "joins"])
-
-    repaired = ready.mapInArrow(reflowed, "page_id bigint, path string, page_no int, text string, joins boolean")
-    return kinds, repaired
+@dataclass
+class Lexicon:
+    """What the corpus knows of a page's words: how often the known ones occur, what rare ones may be misread for
+    [(word, its vector or None)], the most frequent first."""
 
+    known: dict[str, int]
+    links: dict[str, list[tuple[str, list[float] | None]]]
 
-def _body(text: str, lines: list[int] | None) -> list[tuple[int, str]]:
-    gone = set(lines or [])
-    return [(k, line) for k, line in enumerate(_lines(text), 1) if line.strip() and k not in gone]
+    @classmethod
+    def of(cls, entries: list[dict] | None) -> Lexicon:
+        known = {e["word"]: e["n"] for e in entries or [] if e["n"]}
+        links = {e["word"]: [(t["word"], t["v"]) for t in e["tos"]] for e in entries or [] if e["tos"]}
+        return cls(known, links)
 
 
-def _whole(left: str, right: str, known: dict[str, int], how: Scan) -> bool:
-    """Whether two parts make a word that is known, as it stands or restored."""
-    word = (left + right).lower()
-    return word in known or bool(len(word) > 3 and restored(word, known, how.glyphs, 1))
+def _halves(first: str, second: str) -> tuple[str, str, bool]:
+    """What two tokens would add to a word at a line's end, and whether a hyphen stands there."""
+    last = first.strip()
+    hyphen = last[-1:] in HYPHENS if last else False
+    left = clean(last[:-1] if hyphen else last).lower().lstrip("(")
+    return re.split(r"[-‐]", left)[-1], re.split(r"[-‐/]", clean(second).lower())[0], hyphen
+
+
+def _opened(token: str) -> str | None:
+    """A token that opens a bracket it doesn't close, with it, in lower case: the bracket may be a misread letter."""
+    return "(" + clean(token).lower() if token[:1] == "(" and ")" not in token else None
+
+
+def lookups(text: str, lines: list[int] | None, before: str | None, after: str | None) -> dict[str, int]:
+    """All words a page may have to look up, with their occurrences inside of lines."""
+    found: Counter[str] = Counter()
+    rows = [line.split() for _, line in _body(text, lines)]
+    for row in rows:
+        for k, token in enumerate(row):
+            inner = 0 < k < len(row) - 1
+            word, opened = clean(token).lower(), _opened(token)
+            if not word:
+                continue
+            found[opened or word] += inner
+            found.setdefault(word, 0)
+            for p in pieces(token):
+                if p.lower() != word:
+                    found[p.lower()] += inner
+    ends = [*([before.split()] if before and before.strip() else []), *rows, *([after.split()] if after and after.strip() else [])]
+    for row, following in zip(ends, ends[1:], strict=False):
+        left, right, hyphen = _halves(row[-1], following[0])
+        words = [left, right, left + right, *([f"{left}-{right}"] if hyphen else [])]
+        words += [p.lower() for p in pieces(f"{clean(row[-1])[: -1 if hyphen else None]}{clean(following[0])}")]
+        for w in filter(None, words):
+            found.setdefault(w, 0)
+    return found
 
 
-def cut_word(first: str, second: str, known: dict[str, int], how: Scan = Scan()) -> bool:
+def cut_word(first: str, second: str, lex: Lexicon) -> bool:
     """Whether the last token of a line goes on in the first token of the next one."""
-    last = first.strip()
-    head = clean(second)
-    if not last or not head or not (head[0].isalpha() or head[0] in "ſɑ!0156(") :
+    last, head = first.strip(), clean(second)
+    if not last or not head or not (head[0].isalpha() or head[0] in "ſɑ!0156("):
         return False
-    hyphen = last[-1] in HYPHENS
-    left = clean(last[:-1] if hyphen else last).lower().lstrip("(")
-    head_word = head.lower()
-    right = re.split(r"[-‐/]", head_word)[0]
-    left = re.split(r"[-‐/]", left)[-1]
+    known = lex.known
+    left, right, hyphen = _halves(first, second)
     if not left or not right:
         return False
+    word = left + right
+    whole = word in known or (len(word) > 3 and word in lex.links)
     if hyphen:
         if last[-1] in SOFT:
             return True
         if not left[-1:].isalpha() and left[-1:] not in "ſɑ!0156":
             return False
-        joined, compound = known.get(left + right, 0), known.get(f"{left}-{right}", 0)
+        joined, compound = known.get(word, 0), known.get(f"{left}-{right}", 0)
         if joined or compound:
             return joined > compound
-        if _whole(left, right, known, how):
-            return True
-        return not (left in known and right in known)
-    if last[-1] in _EDGE or not left.isalpha() or (left in known and right in known):
-        return False
-    if head[0].isupper():
+        return whole or not (left in known and right in known)
+    if last[-1] in _EDGE or not left.isalpha() or (left in known and right in known) or head[0].isupper():
         return False
-    return known.get(left + right, 0) > 0 or (left not in known and right not in known and len(left + right) > 5 and _whole(left, right, known, how))
+    return word in known or (left not in known and right not in known and len(word) > 5 and whole)
 
 
-def _suspects(page: int, text: str, lines: list[int], next_text: str | None, next_lines: list[int] | None, known: dict[str, int], how: Scan) -> Iterator[tuple]:
-    """(line, word, context, alien) of tokens that aren't known; word None for a line whose last word is cut.
+def _cased(right: str, found: str) -> str:
+    return right.upper() if found.isupper() and len(found) > 1 else right.capitalize() if found[:1].isupper() else right
 
-    Lines below 0 are lines of the next page.
-    """
-    body = _body(text, lines)
-    tokens = [line.split() for _, line in body]
-    onward = _body(next_text, next_lines)[:1] if next_text else []
-    skip_first = False
-    for at, (number, _line) in enumerate(body):
-        row = tokens[at]
-        following = tokens[at + 1] if at + 1 < len(body) else onward[0][1].split() if onward else []
-        number_next = body[at + 1][0] if at + 1 < len(body) else -onward[0][0] if onward else 0
-        cut = bool(following) and cut_word(row[-1], following[0], known, how)
-        if cut:
-            yield number, None, None, None
-        inner = row[1 if skip_first else 0 : len(row) - 1 if cut else len(row)]
-        plain = [clean(t).lower() for t in row]
-        for k, token in enumerate(inner, 1 if skip_first else 0):
-            yield from _unknown(number, token, [w for w in plain[max(0, k - 3) : k + 4] if w in known], known)
-        if cut:
-            last = row[-1].strip()
-            left = clean(last[:-1] if last[-1] in HYPHENS else last).lstrip("(")
-            right = clean(following[0])
-            for _, word, context, alien in _unknown(number, left + right, [w for w in plain[-4:] if w in known], known):
-                # The slip lies in the part that doesn't begin or end the word meant.
-                meant = next(iter(restored(word, known, how.glyphs)), "")
-                right_part = re.split(r"[-‐/]", right.lower())[0]
-                at_right = meant.startswith(left.lower()) and not meant.endswith(right_part)
-                yield (number_next if at_right else number), word, context, alien
-        skip_first = cut
 
+_SIGNS = str.maketrans({b: a for a, b in reversed(GLYPHS) if len(b) == 1 and not b.isalpha()} | {"ſ": "s", "ɑ": "a", "ì": "i", "í": "i"})
 
-def _unknown(number: int, token: str, context: list[str], known: dict[str, int]) -> Iterator[tuple]:
+
+def mended(token: str, around: list[str], lex: Lexicon) -> tuple[str, bool]:
+    """A token as it was printed, and whether it had been misread; ``around``: the known words beside it."""
     core = clean(token)
-    if not core or core.lower() in known:
-        return
-    if misread_number(token):
-        yield number, core.lower(), context, True
-        return
+    if not core or core.lower() in lex.known:
+        return token, False
+    number = _repaired_number(token)
+    if number is not None:
+        return number, True
+    opened = _opened(token)
+    if opened in lex.links:
+        return token.replace(token[: 1 + len(core)], _cased(_best(lex.links[opened], around), core), 1), True
+    hit = False
     for piece in pieces(token):
         low = piece.lower()
-        if low in known or len(low) < 2 or not any(c.isalpha() for c in low):
+        if low in lex.known or len(low) < 2 or not any(c.isalpha() for c in low):
             continue
-        alien = bool(_ALIEN.search(piece)) and not _KNOWN_MIX.match(piece)
-        if alien or not any(c.isdigit() for c in low) or not _KNOWN_MIX.match(piece):
-            yield number, low, context, alien
+        mix = bool(_KNOWN_MIX.match(piece))
+        alien = bool(_ALIEN.search(piece)) and not mix
+        tos = lex.links.get(low) if not mix else None
+        if tos:
+            token = token.replace(piece, _cased(_best(tos, around), piece), 1)
+        elif alien:
+            token = token.replace(piece, piece.translate(_SIGNS), 1)
+        hit |= alien or bool(tos)
+    return token, hit
+
+
+def _best(tos: list[tuple[str, list[float] | None]], around: list[str]) -> str:
+    """Of several words the one whose vector fits the words around best; the most frequent one if none does."""
+    if len(tos) == 1 or not around:
+        return tos[0][0]
+    mean = np.sum([direction(w) for w in around], axis=0)
+    fit = [float(np.dot(np.asarray(v, np.float32), mean[: len(v)])) if v else 0.0 for _, v in tos]
+    return tos[int(np.argmax(fit))][0]
+
+
+@lru_cache(maxsize=200_000)
+def direction(word: str, size: int = 128) -> np.ndarray:
+    """The direction of a word as a context: random signs that depend on the word only."""
+    seeds = [xxhash.xxh64_intdigest(word, seed=k) for k in range((size + 63) // 64)]
+    bits = np.unpackbits(np.array(seeds, np.uint64).view(np.uint8))[:size]
+    return bits.astype(np.float32) * 2 - 1
+
+
+def _stream(text: str, lines: list[int] | None, wanted: set[str]) -> list[str]:
+    """The words of a page's body in order; those cut at a line end as one if somebody asks for it."""
+    words: list[str] = []
+    held = ""
+    for _, line in _body(text, lines):
+        row = line.split()
+        if held:
+            left, right, _ = _halves(held, row[0])
+            if left + right in wanted:
+                words[-1:] = [left + right]
+                row = row[1:]
+        for token in row:
+            word, opened = clean(token).lower(), _opened(token)
+            words.append(opened if opened in wanted else word)
+        held = row[-1] if row else ""
+    return words
+
+
+def vectors(pages: DataFrame, how: Scan = Scan()) -> DataFrame:
+    """(word, v): unit skip-gram vectors of the words of pages (text, lines, entries) that are wanted.
+
+    entries: ARRAY<STRUCT<word, n, wanted>> with n the occurrences of a known
+    word.  The direction of each known word around an occurrence counts with
+    the root of its rarity, as skip-gram's subsampling has it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+
+        def flush() -> pa.RecordBatch:
+            flat = np.concatenate(list(sums.values())) if sums else np.zeros(0, np.float32)
+            ends = np.arange(0, len(flat) + 1, how.size, dtype=np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.float32()))], ["word", "v"])
+
+        for batch in batches:
+            for text, lines, entries in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                known = {e["word"]: e["n"] for e in entries or [] if e["n"]}
+                wanted = {e["word"] for e in entries or [] if e["wanted"]}
+                words = _stream(text, lines, wanted)
+                if not words or not wanted:
+                    continue
+                around = np.zeros((len(words) + 1, how.size), np.float32)
+                for k, w in enumerate(words):
+                    if w in known:
+                        around[k + 1] = direction(w, how.size) / np.float32(known[w] ** 0.5)
+                sofar = np.cumsum(around, axis=0)
+                for k, w in enumerate(words):
+                    if w in wanted:
+                        v = sofar[min(len(words), k + how.window + 1)] - sofar[max(0, k - how.window)] - around[k + 1]
+                        sums[w] = sums[w] + v if w in sums else v
+            if len(sums) > 20_000:
+                yield flush()
+                sums.clear()
+        yield flush()
+
+    parts = pages.select("text", "lines", "entries").mapInArrow(run, "word string, v array<float>")
+    whole = parts.groupBy("word").agg(F.array(*(F.sum(F.col("v")[k]) for k in range(how.size))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    return whole.select("word", F.transform("v", lambda x: F.try_divide(x, norm).cast("float")).alias("v"))
+
+
+def candidates(words: DataFrame, how: Scan = Scan()) -> DataFrame:
+    """(word, n, other, m): words (word, n) and those ``close_odds`` times as frequent that they may be misread for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([strokes(w) for w in batch.column(0).to_pylist()], pa.string()), batch.column(1)], ["word", "strokes", "n"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [plausible(o, w, how.glyphs) for w, o in zip(batch.column("word").to_pylist(), batch.column("other").to_pylist(), strict=True)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    # Roman numerals consist of letters that are taken for one another.
+    lettered = words.where(F.col("word").rlike(r"\p{L}") & (F.length("word") > 1) & ~F.col("word").rlike(r"^[ivxl]{1,6}$"))
+    keyed = lettered.select("word", F.greatest("n", F.lit(1)).alias("n")).mapInArrow(run, "word string, strokes string, n bigint")
+    heads = keyed.where((F.col("n") >= how.least) & F.col("word").rlike(_WORD)).select("strokes", F.col("word").alias("other"), F.col("n").alias("m"))
+    pairs = keyed.join(heads, "strokes").where(F.col("m") >= F.col("n") * how.close_odds).select("word", "n", "other", "m")
+    return pairs.mapInArrow(check, "word string, n bigint, other string, m bigint")
 
 
-def reflow(text: str, gone: set[int], fixes: dict[int, dict[str, str]], cut: set[int]) -> tuple[str, bool]:
-    """A page's body as paragraphs, corrected and with cut words joined; and whether its last word goes on."""
+_WORD = r"^[\p{L}][\p{L}'’\-]*$"
+
+
+def _entries(asked: DataFrame, table: DataFrame, *fields: str) -> DataFrame:
+    """(page_id, entries): the rows of ``table`` (word, ...) for the words each page asks for."""
+    return asked.select("page_id", "word").join(table, "word").groupBy("page_id").agg(F.collect_list(F.struct("word", *fields)).alias("entries"))
+
+
+def links(pairs: DataFrame, space: DataFrame, how: Scan = Scan()) -> DataFrame:
+    """(word, tos): what each word is taken to be misread for, the most frequent first, with vectors where there are several.
+
+    The vectors decide how far a word must be behind in frequency: see
+    :class:`Scan`.  A word that no known word stands around has no vector and is
+    held to the larger odds.
+    """
+    one, other = space.select("word", F.col("v").alias("v1")), space.select(F.col("word").alias("other"), F.col("v").alias("v2"))
+    both = pairs.join(one, "word", "left").join(other, "other", "left")
+    near = F.aggregate(F.zip_with("v1", "v2", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    lead = F.col("m") / F.col("n")
+    taken = both.where((lead >= how.odds) | F.coalesce(near >= how.close, F.lit(False))).select("word", "other", "m", "v2")
+    # Words that are misreadings themselves are taken only where there is no other.
+    poor = taken.select(F.col("word").alias("other"), F.lit(1).alias("poor")).distinct()
+    ranked = taken.join(poor, "other", "left").select("word", F.struct(F.coalesce("poor", F.lit(0)).alias("poor"), (-F.col("m")).alias("m"), F.col("other").alias("word"), F.col("v2").alias("v")).alias("t"))
+    tos = ranked.groupBy("word").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    tos = tos.select("word", F.filter("t", lambda x: x["poor"] == F.col("t")[0]["poor"]).alias("t"))
+    return tos.select("word", F.transform("t", lambda x: F.struct(x["word"].alias("word"), F.when(F.size("t") > 1, x["v"]).alias("v"))).alias("tos"))
+
+
+def repairs(pages: DataFrame, how: Scan = Scan()) -> tuple[DataFrame, DataFrame]:
+    """What is wrong on the pages (page_id, path, page_no, text), and the pages' repaired text.
+
+    First (page_id, line_no, kind) with the kinds furniture, split and misread;
+    then (page_id, path, page_no, text, ends): paragraphs separated by a blank
+    line, and whether the last one ends there.  A word cut at the end of a page is
+    written on that page as a whole.  NULL, empty and blank pages have no rows in
+    the first and empty text in the second; a line is counted from 1, blank ones
+    included.
+    """
+    pages = pages.select("page_id", "path", "page_no", F.coalesce("text", F.lit("")).alias("text"))
+    own = materialise(furniture(pages, how), "furniture")
+    at = pages.select("page_id", "path", "page_no").join(own, "page_id")
+    # Two pages of a path may bear the same number: the least id stands for it.
+    place = lambda step, *cols: at.groupBy("path", (F.col("page_no") + step).alias("page_no")).agg(*(F.min_by(F.col(c), "page_id").alias(name) for c, name in cols))
+    before = place(1, ("last", "before"))
+    after = place(-1, ("page_id", "next_id"), ("first_no", "next_no"), ("first", "after"))
+    sheets = pages.join(own.select("page_id", "lines"), "page_id").join(before, ["path", "page_no"], "left").join(after, ["path", "page_no"], "left")
+    sheets = materialise(sheets, "sheets")
+
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)
+            out = [(page, w, n) for page, text, lines, b, a in columns for w, n in lookups(text, lines, b, a).items()]
+            yield _rows(out, "page_id word n", pa.int64(), pa.string(), pa.int32())
+
+    asked = materialise(sheets.select("page_id", "text", "lines", "before", "after").mapInArrow(asks, "page_id bigint, word string, n int"), "asked")
+    words = materialise(asked.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    pairs = materialise(candidates(words, how), "pairs")
+    heads = words.where((F.col("n") >= how.least) & F.col("word").rlike(_WORD))
+    paired = pairs.select("word").union(pairs.select("other")).distinct().withColumn("wanted", F.lit(True))
+    table = heads.join(paired, "word", "full").select("word", "n", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    sought = sheets.select("page_id", "text", "lines").join(_entries(asked, table, "n", "wanted"), "page_id")
+    space = materialise(vectors(sought, how), "vectors")
+    found = materialise(links(pairs, space, how), "links")
+    # Frequent misreadings of more frequent words don't count as known.
+    table = heads.join(found, "word", "full").select("word", F.when(F.col("tos").isNull(), F.col("n")).alias("n"), "tos")
+    ready = sheets.join(_entries(asked, table, "n", "tos"), "page_id", "left")
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("page_id", "path", "page_no", "text", "lines", "before", "after", "next_id", "next_no", "entries")
+        for batch in batches:
+            out = []
+            for page, path, no, text, lines, b, a, next_id, next_no, entries in zip(*(batch.column(k).to_pylist() for k in names), strict=True):
+                kinds, flowed, ends = repaired(text, lines, b, a, Lexicon.of(entries))
+                marks = [(page, n, k) if n else (next_id, next_no, k) for n, k in kinds]
+                out.append((page, path, no, [{"page_id": p, "line_no": n, "kind": k} for p, n, k in marks], flowed, ends))
+            mark = pa.struct([("page_id", pa.int64()), ("line_no", pa.int32()), ("kind", pa.string())])
+            yield _rows(out, "page_id path page_no marks text ends", pa.int64(), pa.string(), pa.int32(), pa.list_(mark), pa.string(), pa.bool_())
+
+    shape = "page_id bigint, path string, page_no int, marks array<struct<page_id bigint, line_no int, kind string>>, text string, ends boolean"
+    ready = ready.select("page_id", "path", F.col("page_no").cast("int").alias("page_no"), "text", "lines", "before", "after", "next_id", "next_no", "entries")
+    whole = materialise(ready.mapInArrow(done, shape), "repaired")
+    kinds = whole.select(F.inline("marks")).where("page_id is not null").distinct()
+    return kinds, whole.select("page_id", "path", "page_no", "text", "ends")
+
+
+def repaired(text: str, lines: list[int] | None, before: str | None, after: str | None, lex: Lexicon) -> tuple[list[tuple[int, str]], str, bool]:
+    """What is wrong on a page, (line number or 0 for the next page, kind); its body as paragraphs; whether the last one ends."""
+    gone = set(lines or [])
+    kinds: list[tuple[int, str]] = [(n, "furniture") for n in sorted(gone)]
     paragraphs: list[str] = []
-    now, joins = "", False
+    now: list[str] = []
+    body = _body(text, lines)
+    onward = after.split() if after and after.strip() else []
+    skip = bool(before and before.strip() and body) and cut_word(before.split()[-1], body[0][1].split()[0], lex)
+    blank, place = False, 0
     for number, line in enumerate(_lines(text), 1):
         if number in gone:
             continue
-        words = line.split()
-        if not words:
-            if now and not joins:
-                paragraphs.append(now)
-                now = ""
+        row = line.split()
+        if not row:
+            blank = True
             continue
-        for k, token in enumerate(words):
-            for wrong, right in fixes.get(number, {}).items():
-                if wrong in token.lower():
-                    at = token.lower().index(wrong)
-                    found = token[at : at + len(wrong)]
-                    words[k] = token = token[:at] + (right.upper() if found.isupper() and len(found) > 1 else right.capitalize() if found[:1].isupper() else right) + token[at + len(wrong) :]
-        plain = " ".join(words)
-        fresh = line[:2] in ("  ", "\t") or line[:1] == "\t" or plain.startswith("#")
-        if now and fresh and not joins:
-            paragraphs.append(now)
-            now = ""
+        place += 1
+        following = body[place][1].split() if place < len(body) else onward
+        number_next = body[place][0] if place < len(body) else 0
+        cut = bool(following) and cut_word(row[-1], following[0], lex)
+        fresh = line[:2] == "  " or line[:1] == "\t" or line.startswith("#")
+        plain = [clean(t).lower() for t in row]
+        words = []
+        for k in range(1 if skip else 0, len(row) - 1 if cut else len(row)):
+            token, wrong = mended(row[k], [w for w in plain[max(0, k - 3) : k + 4] if w in lex.known], lex)
+            words.append(token)
+            if wrong:
+                kinds.append((number, "misread"))
+        if cut:
+            kinds.append((number, "split"))
+            last = row[-1].strip()
+            left = last[:-1] if last[-1] in HYPHENS else last
+            token, wrong = mended(left + following[0], [w for w in plain[-4:] if w in lex.known], lex)
+            words.append(token)
+            if wrong:
+                # The slip lies in the part that doesn't begin or end the word meant.
+                start, end, meant = left.lower().lstrip("("), clean(following[0]).lower(), clean(token).lower().lstrip("(")
+                kinds.append((number_next if meant.startswith(start) and not meant.endswith(end) else number, "misread"))
+        if now and (blank or fresh) and not skip:
+            paragraphs.append(" ".join(now))
+            now = []
         # A hyphen that belongs to the word stays, and so does the word's other part beside it.
-        hyphen = now[-1:] in ("-", "\u2010") and now[-2:-1].isalpha()
-        now = now + plain if joins or hyphen else f"{now} {plain}" if now else plain
-        joins = number in cut
-        if joins:
-            now = now.rstrip(HYPHENS)
+        if now and words and now[-1][-1:] in ("-", "‐") and now[-1][-2:-1].isalpha():
+            now[-1] += words.pop(0)
+        now += words
+        skip, blank = cut, False
     if now:
-        paragraphs.append(now)
-    return "\n\n".join(paragraphs), joins
+        paragraphs.append(" ".join(now))
+    flowed = "\n\n".join(p for p in paragraphs if p)
+    return kinds, flowed, flowed[-1:] in tuple('.!?:)]”"') and not skip
 
 
 def documents(repaired: DataFrame) -> DataFrame:
-    """(path, text): the pages of each path in order as one text; a word or sentence that goes on is joined."""
-    pages = repaired.where("text <> ''").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page_no", "page_id", "text", "joins"))).alias("pages"))
-    ends = r"(?s).*[.!?:)\]”\"]$"
-    glue = lambda done, page: F.when(F.length(done.text) == 0, page.text).when(
-        done.joins, F.concat(done.text, page.text)
-    ).when(done.text.rlike(ends), F.concat(done.text, F.lit("\n\n"), page.text)).otherwise(F.concat(done.text, F.lit(" "), page.text))
-    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("joins"))
-    whole = F.aggregate("pages", start, lambda done, page: F.struct(glue(done, page).alias("text"), page.joins.alias("joins")))
-    return pages.select("path", whole["text"].alias("text"))
+    """(path, text): the pages of each path in order as one text, '' if all are blank; a sentence that goes on is joined."""
+    rows = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("page_no", "page_id", "text", "ends"))))
+    pages = repaired.groupBy("path").agg(rows.alias("pages"))
+    parts = F.transform("pages", lambda p, k: F.concat(p["text"], F.when(k == F.size("pages") - 1, "").when(p["ends"], "\n\n").otherwise(" ")))
+    return pages.select("path", F.array_join(parts, "").alias("text"))

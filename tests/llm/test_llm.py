@@ -93,16 +93,21 @@ def test_scans(spark):
     assert got == {(1, "furniture"), (8, "furniture"), (2, "misread"), (2, "split"), (3, "misread"), (4, "split")}
     assert {r.line_no for r in kinds.where("page_id = 3").collect()} == {1, 14}
     texts = {r.path: r.text for r in scans.documents(repaired).collect()}
-    assert texts["bad"] == "the committee asked for a clearer account of consent and storage of population 1O4 data in the protocol was clear and long-term account"
-    assert "other" not in texts
+    assert texts["bad"] == "the committee asked for a clearer account of consent and storage of population 104 data in the protocol was clear and long-term account"
+    assert texts["other"] == ""
 
 
 def test_scan_parts():
-    known = {w: 100 for w in ("account", "protocol", "term", "long", "long-term", "the", "committee", "modern")}
-    assert scans.cut_word("proto-", "col", known) and scans.cut_word("proto", "col", known)
-    assert not scans.cut_word("long-", "term", known) and not scans.cut_word("the", "account", known)
-    assert scans.cut_word("Zubra\xad", "nofu", known) and not scans.cut_word("", "x", known)
-    assert scans.restored("cornmittee", known) == {"committee": 1} and scans.restored("modem", known) == {"modern": 1}
+    lex = scans.Lexicon({w: 100 for w in ("account", "protocol", "term", "long", "long-term", "the", "committee", "modern", "could")}, {"(ould": [("could", None)]})
+    assert scans.cut_word("proto-", "col", lex) and scans.cut_word("proto", "col", lex)
+    assert not scans.cut_word("long-", "term", lex) and not scans.cut_word("the", "account", lex)
+    assert scans.cut_word("Zubra\xad", "nofu", lex) and not scans.cut_word("", "x", lex)
+    assert scans.slips("committee", "cornmittee") == 1 and scans.slips("modern", "modem") == 1 and scans.slips("of", "on") is None
+    assert scans.plausible("the", "tbc") and not scans.plausible("it", "lf") and not scans.plausible("the", "the")
+    assert all(scans.strokes(a) == scans.strokes(b) for a, b in scans.GLYPHS)
+    assert scans.mended("(ould", [], lex) == ("could", True) and scans.mended("(S2)", [], lex)[0] == "(52)"
+    assert scans.mended("(2O12),", [], lex) == ("(2012),", True) and scans.mended("Zub0ta", [], lex) == ("Zubota", True)
+    assert scans.headed("Slow Evidence    12") and scans.headed("l2   Slow Evidence") and not scans.headed("    Slow evidence") and not scans.headed("a    b    c")
     assert scans.misread_number("1O4") and scans.misread_number("2Z)") and not scans.misread_number("CO2") and not scans.misread_number("14th")
     assert scans.page_number("- ii -") and scans.page_number("[12]") and not scans.page_number("185).") and not scans.page_number("[15].")
     assert scans.mask("Journal of Data, vol. 12 (2O3)") == scans.mask("Journa1 of Data, vol. 7 (4)")
@@ -116,7 +121,26 @@ def test_misreadings_that_recur_are_found(spark):
     got = {(r.page_id, r.line_no) for r in kinds.where("kind = 'misread'").collect()}
     assert got == {(k % 10, k // 10 + 1) for k in range(120, 127)}
     assert "cornmittee" not in scans.documents(repaired).first().text
-    assert scans.without_misread({"were": 500, "wcre": 30, "vvcre": 7, "where": 40, "ii": 9, "u": 500}, {}) == {"were": 500, "where": 40, "ii": 9, "u": 500}
+
+
+def test_vectors_decide(spark):
+    """A word that looks like another but stands among other words keeps its spelling; removing the vectors loses links."""
+    lines = [f"{k} we had a long talk about data" for k in range(25)] + [f"{k} some very bad weather hit farms" for k in range(6)]
+    lines += ["9 some bad news about data", "8 wc had a long talk about data"]
+    pages = spark.createDataFrame([(1, "a", 1, "\n".join(lines))], "page_id bigint, path string, page_no int, text string")
+    found = lambda how: {r.line_no for r in scans.repairs(pages, how)[0].where("kind = 'misread'").collect()}
+    assert found(scans.Scan()) == {33}
+    assert found(scans.Scan(close=2.0)) == set()
+
+
+def test_words_cut_between_pages(spark):
+    body = "the committee asked for a clearer account of consent"
+    rows = [(1, "a", 1, "\n".join([body] * 8) + "\nstorage and com-"), (2, "a", 2, "\n" * 20 + "mittee\nheard it"), (3, "b", 1, ""), (4, "b", 2, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, path string, page_no int, text string")
+    kinds, repaired = scans.repairs(pages)
+    assert [(r.page_id, r.line_no, r.kind) for r in kinds.where("kind = 'split'").collect()] == [(1, 9, "split")]
+    texts = {r.path: r.text for r in scans.documents(repaired).collect()}
+    assert texts["a"].endswith("consent storage and committee heard it") and texts["b"] == ""
 
 
 def test_misreadings_at_line_ends_are_found(spark):
