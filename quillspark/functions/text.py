@@ -95,8 +95,14 @@ def restored_abstract(index: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(places), lambda x: x.w), " ")
 
 
-def display_name(stem: Column) -> Column:
-    return F.initcap(F.replace(stem, F.lit("-"), F.lit(" ")))
+#: Versions that stand for a provider named alone.
+MODEL_VERSIONS = {"claude": "claude-3.5-sonnet", "codex": "gpt-5.2-xhigh", "gemini": "gemini-3-flash-preview"}
+
+
+def model_version(model: Column) -> Column:
+    """What follows the first ':' of a model's name; else the version that the name stands for, else the name."""
+    known = F.create_map(*(F.lit(x) for kv in MODEL_VERSIONS.items() for x in kv))
+    return F.when(F.contains(model, F.lit(":")), strip(F.regexp_replace(model, r"^[^:]*:", ""))).otherwise(F.coalesce(F.element_at(known, model), model))
 
 
 def model_parts(model: Column) -> Column:
@@ -109,6 +115,57 @@ def model_parts(model: Column) -> Column:
     return F.struct(parts[0].alias("provider"), name.alias("version"), level.alias("level"))
 
 
+def first_id(doi: Column, arxiv: Column, pmcid: Column) -> Column:
+    """The identifier a paper is filed under: its DOI, else arXiv id, else PMCID; '' counts as missing."""
+    return F.coalesce(some(doi), some(arxiv), some(pmcid))
+
+
+def case_slug(name: Column) -> Column:
+    """A test's name in lower case with hyphens for spaces."""
+    return F.replace(F.lower(name), F.lit(" "), F.lit("-"))
+
+
+def test_id(model: Column, agent: Column, name: Column, run_id: Column) -> Column:
+    """'provider_agent_slug_stamp' with the last but one part of the run id."""
+    return F.concat_ws("_", F.split(model, ":")[0], agent, case_slug(name), F.try_element_at(F.split(run_id, "_"), F.lit(-2)))
+
+
+def run_id(stamp: Column) -> Column:
+    """'run_YYYYMMDD_HHMMSS' of a timestamp in the session's time zone, which is UTC."""
+    return F.date_format(stamp, "'run_'yyyyMMdd_HHmmss")
+
+
+def without_front_matter(text: Column) -> Column:
+    """Text without what stands between two lines of '---' at its start."""
+    return F.regexp_replace(text, r"(?s)\A---.*?---\n", "")
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with '{name}' replaced by values, NULL counting as ''; other braces stay."""
+    done = F.lit(template)
+    for name, value in values.items():
+        done = F.replace(done, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return done
+
+
+def headings(markdown: Column) -> Column:
+    """ARRAY of section headings of a paper, whether marked by '#' or set in bold on a line of their own."""
+    marks = F.regexp_extract_all(markdown, F.lit(r"(?m)^(?:#+ +(?=\S)|(?=\*\*))(.*\S)[ \t]*$"), F.lit(1))
+    return F.filter(F.transform(marks, lambda h: F.regexp_replace(h, r"^\*\*(.*)\*\*$", "$1")), lambda h: h != "")
+
+
+def clipped(text: Column, most: int) -> Column:
+    """The first ``most`` characters, as error bodies (500) and reports (5000) show them."""
+    return F.left(text, F.lit(most))
+
+
+def safe_url(url: Column, host: Column | None = None) -> Column:
+    """Whether a URL is http or https with a host, and that host if one is named."""
+    scheme, found = F.try_parse_url(url, F.lit("PROTOCOL")), F.try_parse_url(url, F.lit("HOST"))
+    good = F.lower(scheme).isin("http", "https") & (found != "")
+    return F.coalesce(good if host is None else good & (F.lower(found) == F.lower(host)), F.lit(False))
+
+
 def lenient_int(value: Column) -> Column:
     """An integer, or NULL for anything that isn't one."""
     return value.try_cast("int")
@@ -120,5 +177,5 @@ def list_items(text: Column) -> Column:
 
 
 def number_after(text: Column, label: str) -> Column:
-    """The integer after 'label:'; 0 if there is none."""
-    return F.coalesce(some(F.regexp_extract(text, rf"{label}:\s*([0-9]+)", 1)).try_cast("int"), F.lit(0))
+    """The integer after 'label:' or 'label =', asterisks and backticks between allowed; 0 if there is none."""
+    return F.coalesce(some(F.regexp_extract(text, rf"{label}[*`]*\s*[:=]\s*([0-9]+)", 1)).try_cast("int"), F.lit(0))

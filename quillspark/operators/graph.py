@@ -26,8 +26,15 @@ def snowball(edges: DataFrame, seeds: DataFrame, rounds: int, forward: bool = Fa
     return found
 
 
-def co_cited(edges: DataFrame) -> DataFrame:
-    """(a, b, n): how many works cite both, a < b; repeated citations of a work count once."""
-    e = edges.distinct()
-    left, right = e.select("citing", F.col("cited").alias("a")), e.select("citing", F.col("cited").alias("b"))
-    return left.join(right, "citing").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+def co_cited(edges: DataFrame, piece: int = 1000) -> DataFrame:
+    """(a, b, n): how many works cite both, a < b; repeated citations of a work count once.
+
+    The references of a work that cites more than ``piece`` are cut into pieces of
+    about that size, each of which meets all of its references in a task of its own.
+    """
+    e = edges.where("citing is not null and cited is not null").distinct()
+    pieces = e.groupBy("citing").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("_p"))
+    full = e.join(pieces, "citing")
+    left = full.select("citing", F.col("cited").alias("a"), F.pmod(F.hash("cited"), F.col("_p")).alias("_k"))
+    right = full.select("citing", F.col("cited").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_p") - 1)).alias("_k"))
+    return left.join(right, ["citing", "_k"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))

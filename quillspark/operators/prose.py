@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The lexicons of the audit.
-HEDGES = ("may", "might", "could", "perhaps", "possibly", "suggests", "appears", "seems")
-TRANSITIONS = ("furthermore", "moreover", "additionally", "in conclusion", "it is important to note", "overall")
-ABSTRACTIONS = ("framework", "paradigm", "landscape", "nuanced", "multifaceted", "holistic")
-VOICE = ("it has been shown", "it is argued", "studies have shown", "it is clear that")
+HEDGES = ("potentially", "possibly", "may", "might", "seems", "could", "arguably", "perhaps")
+TRANSITIONS = ("furthermore", "moreover", "additionally", "it is important to note", "it is worth mentioning", "interestingly")
+ABSTRACTIONS = ("various", "different", "multiple", "numerous", "important", "significant", "the field", "the literature")
+VOICE = ("it can be", "it is suggested", "it was found", "it should be noted")
 
 
 def occurrences(text: Column, lexicon: tuple[str, ...]) -> Column:

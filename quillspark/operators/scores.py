@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import number_after, some
+from ..functions.text import list_items, number_after, some, strip
 
 #: Fixed value: the score from which a run passes.
 PASS = 70
@@ -17,16 +17,52 @@ def weighted_mean(score: Column, weight: Column) -> Column:
     return F.coalesce(F.try_divide(F.sum(exact(F.coalesce(score, F.lit(0)) * weight)), F.sum(exact(weight))), F.lit(0)).cast("double")
 
 
-def judged(text: Column, rubrics: tuple[str, ...] = ()) -> Column:
-    """STRUCT<overall, result, passed, reasoning, met, missed, ...> of a judge's answer.
+def judged(text: Column, rubrics: dict[str, int] | None = None) -> Column:
+    """STRUCT<overall, result, passed, reasoning, met, missed, rubric...> of a judge's answer.
 
-    An explicit result or overall score wins over the rest.
+    rubrics: weights by key.  Keys may be followed by asterisks or backticks and by
+    ':' or '='.  An explicit overall score wins over the weighted mean of the
+    rubrics' scores (a missing score is 0, no weight gives 0), an explicit result
+    over the passing score.
     """
-    overall = some(F.regexp_extract(text, r"OVERALL_SCORE:\s*([0-9]+)", 1)).try_cast("int")
+    rubrics = rubrics or {}
+    stated = some(F.regexp_extract(text, r"OVERALL_SCORE[*`]*\s*[:=]\s*([0-9.]+)", 1)).try_cast("double")
+    each = {key: number_after(text, key) for key in rubrics}
+    weight = sum(rubrics.values())
+    mean = sum((each[key] * F.lit(w) for key, w in rubrics.items()), F.lit(0)) / F.lit(float(weight)) if weight else F.lit(0.0)
+    overall = F.coalesce(stated, mean)
     result = some(F.regexp_extract(text, r"RESULT:\s*(PASS|FAIL)", 1))
-    block = lambda name: some(F.trim(F.regexp_extract(text, rf"(?s){name}:\s*(.*?)(?:\n[A-Z_]+:|\z)", 1)))
-    passed = F.coalesce(result == "PASS", F.coalesce(overall, F.lit(0)) >= PASS)
-    return F.struct(overall.alias("overall"), result.alias("result"), passed.alias("passed"), block("REASONING").alias("reasoning"), *(number_after(text, r).alias(r.lower()) for r in rubrics))
+    items = lambda name: list_items(some(F.regexp_extract(text, rf"{name}:\s*([^\n]+)", 1)))
+    block = lambda name: some(strip(F.regexp_extract(text, rf"(?s){name}:\s*(.+?)(?:\n\n|\n[A-Z_]+:|\z)", 1)))
+    none = F.array().cast("array<string>")
+    return F.struct(
+        overall.alias("overall"),
+        result.alias("result"),
+        F.coalesce(result == "PASS", overall >= PASS).alias("passed"),
+        justification(text).alias("reasoning"),
+        F.coalesce(items("MUST_INCLUDE_MET"), none).alias("met"),
+        F.coalesce(items("MUST_INCLUDE_MISSED"), none).alias("missed"),
+        *(F.struct(each[key].alias("score"), F.coalesce(block(f"{key}_REASONING"), F.concat(F.lit("Score: "), each[key].cast("string"), F.lit("/100"))).alias("reasoning")).alias(key.lower()) for key in rubrics),
+    )
+
+
+def justification(text: Column) -> Column:
+    """Why a judge decided: the overall justification unless it begins with a rubric's name, else the first reasoning,
+    else the first justification, else ''."""
+    block = lambda name, stop: some(strip(F.regexp_extract(text, rf"(?s){name}:\s*(.+?)(?:\n\n|\n{stop}:|\z)", 1)))
+    whole = block("OVERALL_JUSTIFICATION", "RESULT")
+    named = F.regexp_like(whole, F.lit(r"^(?:ANALYTICAL|OUTPUT|RESEARCH|DESIGN)"))
+    return F.coalesce(F.when(~named, whole), block("REASONING", "[A-Z_]+"), block("JUSTIFICATION", "[A-Z_]+"), F.lit(""))
+
+
+def difficulty(text: Column) -> Column:
+    """The word after 'difficulty:' with a capital; 'Medium' if there is none, as where the label is set in bold."""
+    return F.coalesce(F.initcap(some(F.regexp_extract(text, r"(?i)difficulty:\s*(\w+)", 1))), F.lit("Medium"))
+
+
+def covered(met: Column, missed: Column) -> Column:
+    """Share of required items that were met; NULL if none were asked for."""
+    return F.try_divide(F.size(met), F.size(met) + F.size(missed))
 
 
 def trend(runs: DataFrame, order: str, value: str, by: list[str] | None = None) -> DataFrame:

@@ -51,13 +51,15 @@ i as (select workspace, k, e.key n, arg_max(e.value, o) val from (select workspa
 j as (select workspace, k, string_agg(n || '=' || val, ',' order by n) ids from i group by all)
 select s.workspace, s.k as key, arg_min(title, o) filter (title <> '') as title, arg_min(year, o) filter (year <> 0) as year, max(coalesce(cited_by, 0)) as cited_by,
  arg_min(fulltext, o) filter (fulltext <> '') as fulltext, arg_min(role, o) filter (role <> '') as role,
- arg_min(screening.status, o) filter (screening.status <> '') as status, any_value(v.found_via) as found_via, any_value(j.ids) as ids
+ coalesce(arg_min(screening.status, o) filter (screening.status <> ''), nullif(arg_min_null(screening.status, o), '')) as status,
+ case when bool_or(coalesce(screening.status <> '', false)) then arg_min_null(screening.stage, o) filter (screening.status <> '') else arg_min_null(screening.stage, o) end as stage,
+ case when bool_or(coalesce(screening.status <> '', false)) then arg_min_null(screening.reason, o) filter (screening.status <> '') else arg_min_null(screening.reason, o) end as reason, any_value(v.found_via) as found_via, any_value(j.ids) as ids
 from s left join v using (workspace, k) left join j using (workspace, k) group by s.workspace, s.k"""
 
 
 def _flat(merged: DataFrame) -> DataFrame:
     pairs = F.array_sort(F.transform(F.map_entries("ids"), lambda e: F.concat(e.key, F.lit("="), e.value)))
-    return merged.select("workspace", "key", "title", "year", "cited_by", "fulltext", "role", text.some(F.col("screening.status")).alias("status"), "found_via", F.array_join(pairs, ",").alias("ids"))
+    return merged.select("workspace", "key", "title", "year", "cited_by", "fulltext", "role", text.some(F.col("screening.status")).alias("status"), "screening.stage", "screening.reason", "found_via", F.array_join(pairs, ",").alias("ids"))
 
 
 @query(_merge_sql("rec_id"))
@@ -65,10 +67,16 @@ def corpus_merge(spark, folder):
     return _flat(corpus.merge(_keyed(spark, folder), ["workspace", "key"], ["rec_id"]))
 
 
-@query(_merge_sql("{'b': batch_no > 1000, 'r': rec_id}"))
+_MEDIAN = "(select quantile_disc(batch_no, 0.5) from corpus)"
+
+
+@query(_merge_sql(f"{{'b': case when batch_no <= {_MEDIAN} then 0 else 1 end, 'r': rec_id}}"))
 def corpus_upsert_resume(spark, folder):
+    """The older half of the batches is the corpus, the rest, rows without batch among them, comes in."""
     rows = _keyed(spark, folder)
-    return _flat(corpus.upsert(rows.where("batch_no <= 1000"), rows.where("batch_no > 1000"), ["workspace", "key"], ["rec_id"]))
+    middle = rows.agg(F.expr("percentile_disc(0.5) within group (order by batch_no)")).first()[0]
+    old = F.coalesce(F.col("batch_no") <= F.lit(middle).cast("int"), F.lit(False))
+    return _flat(corpus.upsert(rows.where(old), rows.where(~old), ["workspace", "key"], ["rec_id"]))
 
 
 @query("select coalesce(nullif(found_via, ''), 'unknown') as source, count(*) as n from corpus group by 1")
@@ -155,33 +163,75 @@ def inverted_index_build_restore(spark, folder):
     return index.select("doc_id", text.restored_abstract(F.col("index")).alias("abstract"))
 
 
-def _resolved(spark, folder):
-    known = T(spark, folder, "corpus").select(F.element_at("ids", "doi").alias("doi"), F.col("title").alias("matched_title"), F.col("rec_id").alias("ord"))
-    other = T(spark, folder, "epmc_results").select("doi", F.col("title").alias("matched_title"), F.col("result_id").alias("ord"))
-    return citations.resolve(T(spark, folder, "verify_citations").select("cite_id", "doi", "title"), known, other)
+def _sides(spark, folder):
+    """Works, with what marks a retracted one; results of the second source; notices; articles."""
+    c, e = T(spark, folder, "corpus"), T(spark, folder, "epmc_results")
+    gone = F.coalesce(F.col("screening.reason") == "retracted", F.lit(False))
+    works = c.select(F.element_at("ids", "doi").alias("doi"), F.col("title").alias("matched_title"), F.element_at("ids", "pmid").alias("pmid"), gone.alias("retracted"), F.col("rec_id").alias("ord"))
+    results = e.select("doi", F.col("title").alias("matched_title"), "pmid", F.col("result_id").alias("ord"))
+    notices = c.where(F.regexp_like(F.lower("title"), F.lit("^(correction|erratum|retraction)"))).select(F.element_at("ids", "doi").alias("updates"))
+    kind = F.when(F.contains(F.lower("title"), F.lit("protocol")), "Retracted Publication").otherwise("Journal Article")
+    fix = F.when(F.contains(F.lower("title"), F.lit("reply")), "Retraction in").otherwise("Comment in")
+    from_works = c.select(F.element_at("ids", "pmid").alias("pmid"), F.array(kind).alias("pub_types"), F.array(F.struct(fix.alias("type"))).alias("corrections"), F.col("rec_id").alias("ord"))
+    return works, results, notices, from_works
 
 
-_RESOLVED = """a as (select lower(ids['doi']) d, arg_min_null(title, rec_id) t from corpus where ids['doi'] <> '' group by 1),
-b as (select lower(doi) d, arg_min_null(title, result_id) t from epmc_results where doi <> '' group by 1),
-r as (select cite_id, doi, title, case when a.d is not null then a.t else b.t end as matched_title, case when a.d is not null then 'openalex' when b.d is not null then 'epmc' end as source
-from verify_citations v left join a on lower(nullif(v.doi, '')) = a.d left join b on lower(nullif(v.doi, '')) = b.d)"""
+def _claims(spark, folder):
+    return T(spark, folder, "verify_citations").select("cite_id", "doi", "title")
+
 
+def _resolved(spark, folder):
+    works, results, _, _ = _sides(spark, folder)
+    return citations.resolve(_claims(spark, folder), works, results)
 
-@query(f"with {_RESOLVED} select cite_id, doi, title, matched_title, source from r")
+
+_RESOLVED = """w as (select rec_id ord, ids['doi'] doi, title, ids['pmid'] pmid, coalesce(screening.reason = 'retracted', false) gone from corpus),
+a as (select lower(doi) d, arg_min({'doi': doi, 't': title, 'p': pmid, 'g': gone}, ord) h from w where doi <> '' group by 1),
+b as (select lower(doi) d, arg_min({'doi': doi, 't': title, 'p': pmid, 'g': false}, result_id) h from epmc_results where doi <> '' group by 1),
+r as (select cite_id, nullif(v.doi, '') doi, nullif(title, '') title, coalesce(a.h, b.h) h, case when a.d is not null then 'openalex' when b.d is not null then 'epmc' end as source
+from verify_citations v left join a on lower(nullif(v.doi, '')) = a.d left join b on lower(nullif(v.doi, '')) = b.d)"""
+_PLAIN = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9 ]', '', 'g'))"
+#: The ratio of matching blocks of the pairs of a table ``asked`` (id, x, y): the longest common block, earliest first,
+#: then the same to its left and right.  Texts of 200 letters and more aren't covered.
+_RATIO = """m as (select id, i, j from (select id, x, y, unnest(range(1, length(x) + 1)) i from asked), unnest(range(1, length(y) + 1)) t(j) where x[i] = y[j]),
+runs as (select id, min(i) i, min(j) j, count(*) k from (select id, i, j, i - row_number() over (partition by id, i - j order by i) g from m) group by id, i - j, g),
+seg as (select id, 1 as alo, length(x) + 1 as ahi, 1 as blo, length(y) + 1 as bhi, 0 as n from asked
+ union all select id, p.alo, p.ahi, p.blo, p.bhi, p.n from (select id, unnest([
+  {'alo': alo, 'ahi': b.i, 'blo': blo, 'bhi': b.j, 'n': b.n}, {'alo': b.i + b.n, 'ahi': ahi, 'blo': b.j + b.n, 'bhi': bhi, 'n': 0}]) p
+ from (select id, alo, ahi, blo, bhi, max({'n': n, 'a': -i, 'b': -j, 'i': i, 'j': j}) b from (
+  select id, alo, ahi, blo, bhi, i + s as i, j + s as j, least(k - s, ahi - i - s, bhi - j - s) n from (
+   select seg.id, alo, ahi, blo, bhi, i, j, k, greatest(0, alo - i, blo - j) s from seg join runs on seg.id = runs.id and i < ahi and j < bhi and i + k > alo and j + k > blo)) where n > 0
+  group by id, alo, ahi, blo, bhi))),
+ratios as (select id, 2.0 * sum(n) / nullif(any_value(length(x) + length(y)), 0) ratio from seg join asked using (id) group by id)"""
+
+
+@query(f"with {_RESOLVED} select cite_id, doi, title, h.t as matched_title, h.doi as hit_doi, nullif(h.p, '') as hit_pmid, coalesce(h.g, false) as hit_retracted, source from r")
 def citation_resolve(spark, folder):
-    return _resolved(spark, folder).select("cite_id", "doi", "title", "matched_title", "source")
+    r = _resolved(spark, folder)
+    return r.select("cite_id", text.some(F.col("doi")).alias("doi"), text.some(F.col("title")).alias("title"), "matched_title", "hit_doi", "hit_pmid", "hit_retracted", "source")
 
 
-@query(f"""with {_RESOLVED}, n as (select cite_id, trim(regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g')) x, trim(regexp_replace(lower(matched_title), '[^a-z0-9 ]', '', 'g')) y from r)
+@query(f"""with {_RESOLVED}, n as (select cite_id, {_PLAIN("title")} x, {_PLAIN("h.t")} y from r)
 select cite_id, coalesce(x <> '' and y <> '' and (contains(x, y) or contains(y, x)), false) as contained from n""")
 def citation_contained(spark, folder):
     return _resolved(spark, folder).select("cite_id", citations.contained(F.col("title"), F.col("matched_title")).alias("contained"))
 
 
-@query()
+@query(f"""with recursive {_RESOLVED}, asked as (select cite_id id, {_PLAIN("title")} x, {_PLAIN("h.t")} y from r where title <> '' and h.t <> ''), {_RATIO}
+select id as cite_id, round(coalesce(ratio, case when x = '' and y = '' then 1.0 else 0.0 end), 9) as ratio, coalesce(x <> '' and y <> '' and (contains(x, y) or contains(y, x) or ratio >= 0.85), false) as matches from asked left join ratios using (id)""")
 def citation_similarity(spark, folder):
     both = _resolved(spark, folder).where("title <> '' and matched_title <> ''")
-    return both.select("cite_id", markup.similarity(text.plain_title(F.col("title")), text.plain_title(F.col("matched_title"))).alias("ratio"), citations.titles_match(F.col("title"), F.col("matched_title")).alias("matches"))
+    ratio = markup.similarity(text.plain_title(F.col("title")), text.plain_title(F.col("matched_title")))
+    return both.select("cite_id", F.round(ratio, 9).alias("ratio"), citations.titles_match(F.col("title"), F.col("matched_title")).alias("matches"))
+
+
+#: The first work that has all words of a claim without DOI, by fewest words.
+_TITLED = f"""ww as (select ord, doi, title, pmid, gone, list_distinct(list_filter(string_split({_PLAIN("title")}, ' '), lambda q: q <> '')) ws from w where title <> ''),
+cw as (select cite_id, title, list_distinct(list_filter(string_split({_PLAIN("title")}, ' '), lambda q: q <> '')) ws from r where doi is null and title is not null),
+wt as (select ord, unnest(ws) q from ww), df as (select q, count(*) n from wt group by 1), ct as (select cite_id, unnest(ws) q from cw),
+rare as (select cite_id, arg_min(q, {{'n': n, 'q': q}}) q, count(*) k from ct join df using (q) group by 1),
+met as (select cw.cite_id, cw.title claim, ww.* from rare join cw using (cite_id) join wt on wt.q = rare.q join ww on ww.ord = wt.ord where rare.k = len(cw.ws) and list_has_all(ww.ws, cw.ws)),
+best as (select cite_id, any_value(claim) title, arg_min({{'doi': doi, 't': title, 'p': pmid, 'g': gone}}, {{'n': len(ws), 'o': ord}}) h from met group by 1)"""
 
 
 _VERDICTS = """select rec_id, case when ids['openalex'] <> '' then lower(title) like 'retraction notice%' end as o,
@@ -206,35 +256,43 @@ def retraction_ladder(spark, folder):
     return _verdicts(spark, folder).select("rec_id", F.inline(F.array(citations.retraction(F.col("o"), F.col("c"), F.col("e")))))
 
 
+_JUDGED = rf"""{_RESOLVED}, {_TITLED},
+pairs as (select cite_id id, {_PLAIN("title")} x, {_PLAIN("h.t")} y from r where doi is not null union all select cite_id, {_PLAIN("title")}, {_PLAIN("h.t")} from best),
+asked as (select * from pairs where x <> '' and y <> '' and not contains(x, y) and not contains(y, x)), {_RATIO},
+same as (select id cite_id, coalesce(x <> '' and y <> '' and (contains(x, y) or contains(y, x) or ratio >= 0.85), false) same from pairs left join ratios using (id)),
+hits as (select r.cite_id, r.doi, r.title, case when r.doi is not null then r.h when same.same then best.h end h, case when r.doi is not null then r.source when same.same then 'openalex' end source, coalesce(same.same, false) same
+ from r left join best using (cite_id) left join same using (cite_id)),
+notices as (select distinct lower(ids['doi']) d from corpus where regexp_matches(lower(title), '^(correction|erratum|retraction)') and ids['doi'] <> ''),
+arts as (select ids['pmid'] p, arg_min(contains(lower(title), 'reply') or contains(lower(title), 'protocol'), rec_id) e0, arg_min_null(coalesce(contains(lower(title), 'reply'), false) or coalesce(contains(lower(title), 'protocol'), false), rec_id) e
+ from corpus where ids['pmid'] <> '' group by 1),
+v as (select hits.*, coalesce(h.g, false) o, case when nullif(h.doi, '') is not null and not contains(h.doi, ',') then notices.d is not null end c, arts.e e from hits left join notices on lower(nullif(h.doi, '')) = notices.d left join arts on nullif(h.p, '') = arts.p),
+j as (select cite_id, case when source is null then 'not_found' when o or coalesce(c, false) or coalesce(e, false) then 'retracted'
+ when doi is not null and title is not null and nullif(h.t, '') is not null and regexp_extract(title, '10\.[0-9]{{4,9}}/[^{SP}"''<>]+', 0) = '' and not same then 'mismatched' else 'verified' end as status,
+ coalesce(nullif(h.doi, ''), doi) as doi, h.t as matched_title, source, source is not null and (o or c is not null or e is not null) as retraction_checked,
+ case when source is null then null when o then 'openalex' when c then 'crossref' when e then 'europepmc' else nullif(concat_ws('+', case when c is not null then 'crossref' end, case when e is not null then 'europepmc' end), '') end as retraction_source from v)"""
+
+
 def _judged(spark, folder):
-    r = _resolved(spark, folder)
-    title = F.lower("matched_title")
-    crossref = F.when(F.col("doi") != "", F.contains(title, F.lit("retraction notice")))
-    state = citations.retraction(F.lit(False), crossref, F.lit(None).cast("boolean"))
-    full = r.select("cite_id", "doi", "title", "matched_title", "source", state.alias("s"))
-    status = citations.verdict(F.col("doi"), F.col("title"), F.col("source").isNotNull(), F.col("matched_title"), F.coalesce("s.retracted", F.lit(False)), citations.contained(F.col("title"), F.col("matched_title")))
-    found = F.col("source").isNotNull()
-    return full.select("cite_id", status.alias("status"), (found & F.coalesce("s.checked", F.lit(False))).alias("checked"))
+    return citations.verify(_claims(spark, folder), *_sides(spark, folder), key="cite_id")
 
 
-_JUDGED = rf"""{_RESOLVED}, n as (select *, trim(regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g')) x, trim(regexp_replace(lower(matched_title), '[^a-z0-9 ]', '', 'g')) y,
-case when doi <> '' then contains(lower(matched_title), 'retraction notice') end c from r),
-j as (select cite_id, case when source is null then 'not_found' when coalesce(c, false) then 'retracted'
-when nullif(doi, '') is not null and nullif(title, '') is not null and nullif(matched_title, '') is not null
- and regexp_extract(title, '10\.[0-9]{{4,9}}/[^{SP}"''<>]+', 0) = '' and not coalesce(x <> '' and y <> '' and (contains(x, y) or contains(y, x)), false) then 'mismatched' else 'verified' end as status,
-source is not null and c is not null as checked from n)"""
+@query(f"with recursive {_JUDGED} select cite_id, h.t as matched_title, nullif(h.doi, '') as hit_doi from hits where doi is null")
+def citation_title_search(spark, folder):
+    works, _, _, _ = _sides(spark, folder)
+    claims = _claims(spark, folder).where("doi is null or doi = ''")
+    return citations.resolve_titles(claims, works, "cite_id").select("cite_id", "matched_title", "hit_doi")
 
 
-@query(f"with {_JUDGED} select cite_id, status, checked from j")
+@query(f"with recursive {_JUDGED} select * from j")
 def citation_verdict(spark, folder):
     return _judged(spark, folder)
 
 
-@query(f"""with {_JUDGED} select count(*) as total, count(*) filter (status = 'verified') as verified, count(*) filter (status = 'mismatched') as mismatched,
-count(*) filter (status = 'not_found') as not_found, count(*) filter (status = 'retracted') as retracted, count(*) filter (status = 'verified' and not checked) as unchecked,
+@query(f"""with recursive {_JUDGED} select count(*) as total, count(*) filter (status = 'verified') as verified, count(*) filter (status = 'mismatched') as mismatched,
+count(*) filter (status = 'not_found') as not_found, count(*) filter (status = 'retracted') as retracted, count(*) filter (status = 'verified' and not retraction_checked) as unchecked,
 count(*) filter (status = 'verified') = count(*) as passes from j""")
 def verification_report(spark, folder):
-    return citations.report(_judged(spark, folder))
+    return citations.report(_judged(spark, folder).withColumnRenamed("retraction_checked", "checked"))
 
 
 @query("select rec_id, workspace, year, cited_by from corpus where year > 2015 and cited_by >= 10 and found_via in ('openalex', 'epmc') and title is not null and not coalesce(workspace = 'ws-0042', false)")
@@ -347,46 +405,49 @@ def leaderboard(spark, folder):
     return models.select("model", "average", F.rank().over(Window.orderBy(F.desc("average"))).alias("place"), scores.band(F.col("average")).alias("band"))
 
 
-@query(r"""with j as (select rec_id, 'RIGOUR: ' || coalesce(cited_by, 0) || chr(10) || 'REASONING: ' || coalesce(screening.reason, '-') || chr(10) || 'OVERALL_SCORE: ' || coalesce(year, 0) % 100 ||
-case when screening.status = 'included' then chr(10) || 'RESULT: PASS' when screening.status = 'excluded' then chr(10) || 'RESULT: FAIL' else '' end as t from corpus)
-select rec_id, try_cast(nullif(regexp_extract(t, 'OVERALL_SCORE:\s*([0-9]+)', 1), '') as int) as overall, nullif(regexp_extract(t, 'RESULT:\s*(PASS|FAIL)', 1), '') as result,
-coalesce(nullif(regexp_extract(t, 'RESULT:\s*(PASS|FAIL)', 1), '') = 'PASS', coalesce(try_cast(nullif(regexp_extract(t, 'OVERALL_SCORE:\s*([0-9]+)', 1), '') as int), 0) >= 70) as passed,
-coalesce(try_cast(nullif(regexp_extract(t, 'RIGOUR:\s*([0-9]+)', 1), '') as int), 0) as rigour from j""")
-def judge_parse(spark, folder):
-    nl = F.lit("\n")
-    status = F.col("screening.status")
-    answer = F.concat(
-        F.lit("RIGOUR: "), F.coalesce("cited_by", F.lit(0)).cast("string"), nl, F.lit("REASONING: "), F.coalesce("screening.reason", F.lit("-")), nl,
-        F.lit("OVERALL_SCORE: "), (F.coalesce("year", F.lit(0)) % 100).cast("string"),
-        F.when(status == "included", "\nRESULT: PASS").when(status == "excluded", "\nRESULT: FAIL").otherwise(""),
+def _answer():
+    """A judge's answer made of a corpus row: bold keys, an equals sign, and an overall score in some rows only."""
+    nl, status = F.lit("\n"), F.col("screening.status")
+    return F.concat(
+        F.lit("**DESIGN_QUALITY**: "), (F.abs(F.coalesce("cited_by", F.lit(0))) % 101).cast("string"), nl, F.lit("DESIGN_QUALITY_REASONING: "), F.coalesce("screening.reason", F.lit("-")), nl,
+        F.lit("OUTPUT_STRUCTURE = "), (F.abs(F.coalesce("year", F.lit(0))) % 100).cast("string"), nl, F.lit("MUST_INCLUDE_MET: "), F.coalesce("found_via", F.lit("none")), F.lit(", scope"), nl, F.lit("MUST_INCLUDE_MISSED: none"), nl,
+        F.when(F.col("role").isNotNull(), F.concat(F.lit("OVERALL_SCORE: "), (F.abs(F.coalesce("year", F.lit(0))) % 100).cast("string"), F.lit(".5\n"))).otherwise(""),
+        F.when(status == "included", "RESULT: PASS").when(status == "excluded", "RESULT: FAIL").otherwise(""),
     )
-    return T(spark, folder, "corpus").select("rec_id", scores.judged(answer, ("RIGOUR",)).alias("j")).select("rec_id", "j.overall", "j.result", "j.passed", "j.rigour")
 
 
-def _audit_sql(lexicon: tuple[str, ...], most: int) -> str:
-    pattern = r"\b(?:" + "|".join(lexicon) + r")\b"
-    return f"""with p as (select doc_id, unnest(string_split(text, chr(10))) x from documents), h as (select doc_id, len(regexp_extract_all(lower(x), '{pattern}')) h from p where trim(x) <> '')
+@query(r"""with j as (select rec_id, abs(coalesce(cited_by, 0)) % 101 as design, abs(coalesce(year, 0)) % 100 as output, role, screening.status s, nullif(trim(coalesce(screening.reason, '-')), '') reason, coalesce(found_via, 'none') via from corpus),
+k as (select *, case when role is not null then output + 0.5 else (75.0 * design + 25.0 * output) / 100.0 end as overall from j)
+select rec_id, overall, case s when 'included' then 'PASS' when 'excluded' then 'FAIL' end as result, case s when 'included' then true when 'excluded' then false else overall >= 70 end as passed,
+cast(design as int) as design, cast(output as int) as output, array_to_string(list_filter(list_transform(list_filter(string_split(via || ', scope', ','), lambda x: trim(x) <> '' and lower(x) <> 'none'), lambda x: trim(x)), lambda x: true), '|') as met, 0 as missed from k""")
+def judge_parse(spark, folder):
+    rows = T(spark, folder, "corpus").select("rec_id", scores.judged(_answer(), {"DESIGN_QUALITY": 75, "OUTPUT_STRUCTURE": 25}).alias("j"))
+    return rows.select("rec_id", "j.overall", "j.result", "j.passed", F.col("j.design_quality.score").alias("design"), F.col("j.output_structure.score").alias("output"), F.array_join("j.met", "|").alias("met"), F.size("j.missed").alias("missed"))
+
+
+def _audit_sql(pattern: str, most: int) -> str:
+    return f"""with p as (select doc_id, unnest(string_split(text, chr(10))) x from documents), h as (select doc_id, len(regexp_extract_all(lower(x), '\\b(?:{pattern})\\b')) h from p where trim(x) <> '')
 select doc_id as doc, count(*) as paragraphs, cast(sum(h) as bigint) as hits, count(*) filter (h > {most}) as flagged from h group by 1"""
 
 
-@query(_audit_sql(prose.HEDGES, 2))
+@query(_audit_sql("potentially|possibly|may|might|seems|could|arguably|perhaps", 2))
 def prose_hedging(spark, folder):
     return prose.audit(T(spark, folder, "documents"), "doc_id", "text", prose.HEDGES, 2)
 
 
-@query(_audit_sql(prose.TRANSITIONS, 0))
+@query(_audit_sql("furthermore|moreover|additionally|it is important to note|it is worth mentioning|interestingly", 0))
 def prose_transitions(spark, folder):
     return prose.audit(T(spark, folder, "documents"), "doc_id", "text", prose.TRANSITIONS, 0)
 
 
-@query(_audit_sql(prose.ABSTRACTIONS, 0))
+@query(_audit_sql("various|different|multiple|numerous|important|significant|the field|the literature", 0))
 def prose_abstractions(spark, folder):
     return prose.audit(T(spark, folder, "documents"), "doc_id", "text", prose.ABSTRACTIONS, 0)
 
 
-@query(_audit_sql(prose.VOICE, 0))
+@query(_audit_sql("it can be|it is suggested|it was found|it should be noted", 2))
 def prose_voice(spark, folder):
-    return prose.audit(T(spark, folder, "documents"), "doc_id", "text", prose.VOICE, 0)
+    return prose.audit(T(spark, folder, "documents"), "doc_id", "text", prose.VOICE, 2)
 
 
 @query("""with p as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') l from documents), q as (select doc_id, unnest(l) x, generate_subscripts(l, 1) place from p),
@@ -463,24 +524,30 @@ def saturation_curve(spark, folder):
     return scores.saturation(rows, "workspace", ["batch_no"], "reason").select("workspace", F.col("step.batch_no").alias("step"), "new_codes", "codes")
 
 
-@query("""select workspace, count(distinct key) as sources, count(distinct key) filter (year >= 2018) as recent, count(distinct key) >= 10 as enough from corpus where year between 1500 and 2023 group by 1""")
+@query("""with n as (select max(year(loaded_at)) now from corpus), b as (select c.* from corpus c, n where c.year between 1500 and n.now), m as (select max(year) newest from b)
+select workspace, count(distinct key) as sources, count(distinct key) filter (year >= newest - 5) as recent, count(distinct key) >= 10 as enough from b, m group by 1""")
 def recency_and_volume(spark, folder):
-    rows = T(spark, folder, "corpus").where("year between 1500 and 2023")
-    # The five years before 2023, the newest year of the data.
-    recent = F.count_distinct(F.when(F.col("year") >= 2018, F.col("key")))
-    return rows.groupBy("workspace").agg(F.count_distinct("key").alias("sources"), recent.alias("recent"), (F.count_distinct("key") >= 10).alias("enough"))
+    return corpus.recency(T(spark, folder, "corpus"), ["workspace"])
+
 
+_BODY = rf"regexp_replace(regexp_replace(replace(replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]', ' ', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^[{SP}]+', ''), '[{SP}]+$', '')"
 
-@query()
+
+@query(rf"""select doc_id, '# ' || source || chr(10) || chr(10) || '## Abstract' || chr(10) || chr(10) || coalesce(lang, '-') || ' text' || chr(10) || chr(10) || chr(10) || '## Part ' || source || chr(10)
+|| case when coalesce({_BODY}, '') = '' then '' else chr(10) || chr(10) || {_BODY} end as markdown from documents where source <> ''""")
 def jats_to_markdown(spark, folder):
     escape = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     clean = F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
-    xml = F.concat(F.lit("<article xmlns='urn:a'><front><article-title>"), escape(F.col("source")), F.lit("</article-title></front><body><sec><title>Text</title><p>"), escape(clean), F.lit("</p></sec></body></article>"))
-    return T(spark, folder, "documents").select("doc_id", markup.jats_markdown(xml).alias("markdown"))
+    xml = F.concat(
+        F.lit("<article xmlns='urn:a'><front><article-title>"), escape(F.col("source")), F.lit("</article-title><abstract><p>"), escape(F.coalesce("lang", F.lit("-"))), F.lit(" <i>text</i></p></abstract></front><body><sec><title>Part <b>"),
+        escape(F.col("source")), F.lit("</b></title><p>"), escape(clean), F.lit("</p></sec></body></article>"),
+    )
+    return T(spark, folder, "documents").where("source <> ''").select("doc_id", markup.jats_markdown(xml).alias("markdown"))
 
 
-@query()
+@query(r"""select cite_id, nullif(regexp_replace(coalesce(doi, ''), '["{}\\]', '', 'g'), '') as doi, nullif(regexp_replace(coalesce(title, ''), '["{}\\]', ' ', 'g'), '') as title, 'c' || cite_id as raw from verify_citations""")
 def bibtex_parse(spark, folder):
-    plain = F.regexp_replace(F.coalesce("title", F.lit("")), r'[{}"\\]', " ")
-    entry = F.concat(F.lit("@article{c"), F.col("cite_id"), F.lit(",\n  title = {"), plain, F.lit("},\n  doi = {"), F.regexp_replace(F.coalesce("doi", F.lit("")), r"[{}]", ""), F.lit("}\n}\n"))
+    plain = F.regexp_replace(F.coalesce("title", F.lit("")), r'["{}\\]', " ")
+    doi = F.regexp_replace(F.coalesce("doi", F.lit("")), r'["{}\\]', "")
+    entry = F.concat(F.lit("@comment{none}\n@article{c"), F.col("cite_id"), F.lit(",\n  title = {First},\n  Title = {{"), plain, F.lit('}},\n  year = 1999,\n  doi = "'), doi, F.lit('"\n}\n'))
     return T(spark, folder, "verify_citations").select("cite_id", F.inline(markup.bib_entries(entry)))

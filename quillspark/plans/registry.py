@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import more
 from .queries import ORACLE, QUERIES, corpus_merge
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | more.ORACLE
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _own:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
             base = "file://" + tempfile.mkdtemp(prefix="quill-")
             spark.sparkContext.setCheckpointDir(base)
         path = f"{base.rstrip('/')}/quill-{app}-{uuid.uuid4().hex[:8]}"
@@ -49,7 +53,21 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[id(table)] = path
+    weakref.finalize(table, _paths.pop, id(table), None)
+    return table
+
+
+_paths: dict[int, str] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialise` returned and that nothing will read again."""
+    for table in tables:
+        path = _paths.pop(id(table), None)
+        if path:
+            drop_table(table.sparkSession, path)
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
