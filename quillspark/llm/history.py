@@ -2,11 +2,15 @@
 
 Every accepted row is filed under several sort keys: its identifiers, the words
 of its title, and the title read forwards and backwards.  A *run* holds the
-distinct keys of the batches it took in, sorted, in key ranges that are
-directories; a batch reads only the ranges its own keys fall into.  Equal keys
-and, for titles, close neighbours in a small window around a new record become
-links; the links' components say which accepted row a new row belongs to.  Runs
-are compacted into one from time to time.
+distinct keys of the batches it took in, sorted by workspace, key and title and
+cut into files by sampled bounds; the manifest knows the range of each file.  A
+batch reads the files of the ranges its own keys fall into.  Batch and history
+are merged in sort order; equal keys, and titles at most a window apart from a new
+one, become links, and the links' components say which accepted row a new row
+belongs to.  Runs are compacted into one from time to time.
+
+All state lies in a folder: runs, links, and manifests, of which the last one
+counts, so that another session goes on where this one ended.
 
 A row is represented by its *order*, batch number and row id in one number, so
 the least order of a component is the row that was accepted first.
@@ -14,7 +18,10 @@ the least order of a component is the row that was accepted first.
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -24,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import drop_table, materialise, table_path
+from ..storage import drop_table, materialise, names_in, read_text, table_path, write_text
 from .components import connected
 from .titles import alike, read
 
@@ -34,17 +41,18 @@ ID_BITS, BATCH_BITS = 40, 23
 
 @dataclass(frozen=True)
 class Neighbourhood:
-    """Parameters: key ranges of a run, letters of a title that neighbours must share, neighbours looked at on
-    one side, letters by which neighbours may differ, share of the longer title that a shortened one must keep,
-    least content words of a title that says what a work is, and runs after which they are compacted."""
+    """Parameters: neighbours looked at on one side, letters by which neighbours may differ, share of the longer title that
+    a shortened one must keep, least content words of a title that says what a work is, runs after which they are
+    compacted, bits of a workspace by which files are chosen (so at most 2 to that power ranges exist), and files of a run
+    (by default as many as its size asks for)."""
 
-    ranges: int = 64
-    prefix: int = 16
     window: int = 4
     edits: int = 3
     kept: float = 0.6
     least_words: int = 4
-    runs: int = 4
+    runs: int = 3
+    bits: int = 12
+    files: int | None = None
 
 
 def order(batch_no: Column, rec_id: Column) -> Column:
@@ -82,9 +90,9 @@ _CLEAN = re.compile(r"10\.\d{4,9}/[a-z0-9][a-z0-9\-_.]*(?:/[a-z0-9\-_.]+)*(?<=[a
 
 
 def file_keys(rows: DataFrame, how: Neighbourhood) -> DataFrame:
-    """(ord, keys, scope, title) of rows (ord, workspace, key, ids, title).
+    """(ord, place, keys, scope, title) of rows (ord, workspace, key, ids, title).
 
-    keys: hashes of the identifiers and of the title's words within the
+    place: the workspace's range.  keys: hashes of the identifiers and of the title's words within the
     workspace.  scope: hash of workspace and marker; title: the title's content
     words.  Both are NULL for generic titles.
     """
@@ -127,44 +135,77 @@ def file_keys(rows: DataFrame, how: Neighbourhood) -> DataFrame:
     number = lambda kind, *values: F.when(F.col(values[-1]).isNotNull(), F.xxhash64("space", F.lit(kind), *values))
     return filed.select(
         "ord",
+        F.shiftrightunsigned("space", 64 - how.bits).cast("int").alias("place"),
         F.array_compact(F.array(*(number(k, k) for k in kinds), number("doi", "plain"), number("title", "marker", "bag"))).alias("keys"),
         number("scope", "marker").alias("scope"),
         F.col("words").alias("title"),
     )
 
 
+def close_by(rows: Iterator[tuple], window: int, edits: int) -> Iterator[tuple]:
+    """Pairs (a, b, title a, title b) of sorted rows (block, title, ord, new) at most ``window`` apart in a block, one of
+    them new, that may be close: one begins the other, or they have as many words and about as many letters."""
+    last: deque[tuple] = deque(maxlen=window)
+    now = None
+    for block, title, ord, new in rows:
+        if block != now:
+            last.clear()
+            now = block
+        words = title.count(" ")
+        for old_title, old_ord, old_new, old_words in last:
+            if (new or old_new) and (abs(len(title) - len(old_title)) <= edits and words == old_words or title.startswith(old_title)):
+                yield old_ord, ord, old_title, title
+        last.append((title, ord, new, words))
+
+
 class History:
-    """All rows accepted so far, as sorted runs in a folder that all executors share."""
+    """All rows accepted so far, as sorted runs in a folder that all executors share.
+
+    A folder that holds a history is opened and goes on; without a folder a new
+    one below the application's own is used, which ends with it.
+    """
 
     def __init__(self, spark: SparkSession, how: Neighbourhood = Neighbourhood(), folder: str | None = None):
         self.spark, self.how = spark, how
-        self.folder = folder or table_path(spark, "history")
-        self.runs: list[str] = []
-        self.links: list[DataFrame] = []
-        self._count = 0
-
-    def _range(self, block: Column) -> Column:
-        return F.pmod(F.shiftright(block, 20), F.lit(self.how.ranges)).cast("int")
-
-    def _read(self, ranges: list[int]) -> DataFrame | None:
-        if not self.runs:
-            return None
-        reader = self.spark.read.schema("block bigint, title string, ord bigint, range int")
-        rows = reduce(DataFrame.union, (reader.parquet(path) for path in self.runs))
-        return rows if len(ranges) >= self.how.ranges else rows.where(F.col("range").isin(ranges))
-
-    def _write(self, entries: DataFrame) -> str:
-        self._count += 1
-        path = f"{self.folder}/run-{self._count}"
-        # Hash partitions by range write one file a range; rows of a range are sorted.
-        entries.repartition("range").sortWithinPartitions("range", "block", "title").write.partitionBy("range").option("compression", "zstd").parquet(path)
-        return path
+        self.folder = (folder or table_path(spark, "history")).rstrip("/")
+        self.state: dict = {"runs": [], "links": []}
+        #: Files read by the last batch, and files there were.
+        self.touched: tuple[int, int] = (0, 0)
+        self.version = 0
+        done = [n for n in names_in(spark, f"{self.folder}/manifest") if n.endswith(".json")]
+        if done:
+            self.state = json.loads(read_text(spark, f"{self.folder}/manifest/{done[-1]}"))
+            self.version = int(done[-1][1:-5])
+
+    def _commit(self) -> None:
+        self.version += 1
+        write_text(self.spark, f"{self.folder}/manifest/v{self.version:09d}.json", json.dumps(self.state))
+
+    def _read(self, places: set[int] | None) -> DataFrame | None:
+        """The keys of the files whose range holds one of the places; of all files for None."""
+        files = [f for run in self.state["runs"] for f in run["files"]]
+        met = [f["path"] for f in files if places is None or any(p in places for p in range(f["low"], f["high"] + 1))]
+        self.touched = (len(met), len(files))
+        return self.spark.read.schema(_ENTRY).parquet(*met) if met else None
+
+    def _write(self, entries: DataFrame) -> dict:
+        """Write keys as a sorted run and return what the manifest says of it."""
+        path = f"{self.folder}/runs/{uuid.uuid4().hex[:12]}"
+        sort = ["place", "block", "title"]
+        cut = [self.how.files, *sort] if self.how.files else sort
+        entries.select(*sort, "ord").repartitionByRange(*cut).sortWithinPartitions(*sort).write.option("compression", "zstd").parquet(path)
+        bounds = self.spark.read.schema(_ENTRY).parquet(path).select("place", F.col("_metadata.file_path").alias("path")).groupBy("path").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+        # A row a file: as many as a listing of the folder has.
+        return {"path": path, "files": [r.asDict() for r in bounds.orderBy("path").collect()]}
 
     def compact(self) -> None:
         """Merge all runs into one that keeps the first order of each key."""
-        if len(self.runs) < 2:
+        if len(self.state["runs"]) < 2:
             return
-        old, self.runs = self.runs, [self._write(self._read(list(range(self.how.ranges))).groupBy("range", "block", "title").agg(F.min("ord").alias("ord")))]
+        old = [run["path"] for run in self.state["runs"]]
+        merged = self._read(None).groupBy("place", "block", "title").agg(F.min("ord").alias("ord"))
+        self.state["runs"] = [self._write(merged)]
+        self._commit()
         for path in old:
             drop_table(self.spark, path)
 
@@ -178,42 +219,33 @@ class History:
         how = self.how
         known = rows.where((F.col("workspace") != "") & (F.col("key") != ""))
         filed = materialise(file_keys(known.select(order(F.col("batch_no"), F.col("rec_id")).alias("ord"), "workspace", "key", "ids", "title"), how), "filed")
-        exact = filed.select("ord", F.explode("keys").alias("block"))
-        title, size = F.col("title"), how.prefix
-        turned = F.reverse(title)
-        sides = F.array(
-            F.struct(F.xxhash64("scope", F.lit(1), F.left(title, F.lit(size))).alias("block"), title.alias("title")),
-            F.struct(F.xxhash64("scope", F.lit(2), F.left(turned, F.lit(size))).alias("block"), turned.alias("title")),
-        )
+        exact = filed.select("ord", "place", F.explode("keys").alias("block"))
+        title = F.col("title")
+        # Titles are sorted within workspace and marker, forwards and backwards.
+        sides = F.array(F.struct(F.xxhash64("scope", F.lit(1)).alias("block"), title.alias("title")), F.struct(F.xxhash64("scope", F.lit(2)).alias("block"), F.reverse(title).alias("title")))
         # Distinct titles of a workspace with the first row of each.
-        forms = filed.where("title is not null").groupBy("scope", "title").agg(F.min("ord").alias("ord"))
-        fuzzy = forms.select("ord", F.inline(sides))
-        firsts = exact.groupBy("block").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n"))
-
+        forms = filed.where("title is not null").groupBy("place", "scope", "title").agg(F.min("ord").alias("ord"))
+        fuzzy = forms.select("ord", "place", F.inline(sides))
+        firsts = exact.groupBy("block").agg(F.min("place").alias("place"), F.min("ord").alias("first"), F.count(F.lit(1)).alias("n"))
         new = materialise(
-            firsts.select("block", F.lit(None).cast("string").alias("title"), F.col("first").alias("ord"), "n")
-            .unionByName(fuzzy.select("block", "title", "ord", F.lit(1).cast("bigint").alias("n")))
-            .withColumn("range", self._range(F.col("block"))),
-            "new",
+            firsts.select("place", "block", F.lit(None).cast("string").alias("title"), F.col("first").alias("ord"), "n").unionByName(fuzzy.select("place", "block", "title", "ord", F.lit(1).cast("bigint").alias("n"))), "new"
         )
         old = None
-        if self.runs:
-            ranges = [r.range for r in new.select("range").distinct().collect()]  # at most how.ranges numbers
-            old = self._read(ranges)
+        if self.state["runs"]:
+            old = self._read({r.place for r in new.select("place").distinct().collect()})  # at most 2 ** bits numbers
 
         # Equal keys: the first row of each key that is old or has two rows.
         mins = new.where("title is null").select("block", F.col("ord").alias("first"), "n")
         if old is not None:
             earlier = old.where("title is null").select("block", F.col("ord").alias("first"), F.lit(1).cast("bigint").alias("n"))
-            touched = mins.select("block").join(earlier, "block")
+            touched = materialise(earlier.join(mins.select("block"), "block", "left_semi"), "touched")
             mins = mins.unionByName(touched).groupBy("block").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-            olds = touched.select(F.col("first").alias("ord"), "block")
-            exact = exact.unionByName(olds)
+            exact = exact.select("ord", "block").unionByName(touched.select(F.col("first").alias("ord"), "block"))
         hits = exact.join(mins.where("n > 1"), "block")
         rowed = materialise(hits.groupBy("ord").agg(F.min("first").alias("best"), F.collect_set("first").alias("firsts")), "rowed")
         bridges = rowed.where("size(firsts) > 1").select(F.explode("firsts").alias("a"), F.col("best").alias("b"))
 
-        near = self._neighbours(new.where("title is not null").select("block", "title", "ord"), None if old is None else old.where("title is not null"))
+        near = self._neighbours(new.where("title is not null"), None if old is None else old.where("title is not null"))
         odd = materialise(bridges.union(near).where("a <> b").distinct(), "bridges")
         # Rows that others lead to but that lead on themselves.
         moving = rowed.where("ord <> best").select(F.col("ord").alias("a"), F.col("best").alias("b"))
@@ -222,42 +254,77 @@ class History:
         roots = materialise(connected(odd.union(inner), "roots"), "roots")
         direct = moving.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").select(F.col("a").alias("ord"), F.coalesce("root", "b").alias("root"))
         links = direct.union(roots.select(F.col("node").alias("ord"), "root")).where("ord <> root").distinct()
-        links = materialise(links, "links")
-        self.links.append(links)
-        self.runs.append(self._write(new.select("block", "title", "ord", "range")))
-        if len(self.runs) >= how.runs:
+        path = f"{self.folder}/links/{uuid.uuid4().hex[:12]}"
+        links.write.option("compression", "zstd").parquet(path)
+        self.state["links"].append(path)
+        self.state["runs"].append(self._write(new))
+        self._commit()
+        if len(self.state["runs"]) >= how.runs:
             self.compact()
-        return links
+        return self.spark.read.schema(_LINK).parquet(path)
 
     def _neighbours(self, new: DataFrame, old: DataFrame | None) -> DataFrame:
-        """Links (a, b) between close titles at most ``window`` places apart, one of them new."""
+        """Links (a, b) between close titles at most ``window`` places apart in sort order, one of them new.
+
+        The order is cut by sampled bounds, so a workspace of any size is spread
+        over tasks; the first and last rows of each part are compared across its borders.
+        """
         how = self.how
-        rows = new.select("block", "title", "ord", F.lit(True).alias("new"))
+        rows = new.select("place", "block", "title", "ord", F.lit(True).alias("new"))
         if old is not None:
-            blocks = new.select("block").distinct()
-            rows = rows.unionByName(old.select("block", "title", "ord", F.lit(False).alias("new")).join(blocks, "block", "left_semi"))
-            rows = rows.groupBy("block", "title").agg(F.min("ord").alias("ord"), F.bool_or("new").alias("new"))
-        place = Window.partitionBy("block").orderBy("title", "ord")
-        before = [F.lag(F.struct("title", "ord", "new"), k).over(place).alias(f"p{k}") for k in range(1, how.window + 1)]
-        seen = rows.select("title", "ord", "new", *before)
-        pairs = seen.select("title", "ord", "new", F.explode(F.filter(F.array(*(F.col(f"p{k}") for k in range(1, how.window + 1))), lambda p: p.isNotNull())).alias("p"))
-        a, b = F.col("p.title"), F.col("title")
-        short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-        inside = (b.startswith(a) | a.startswith(b)) & (short >= long * how.kept)
+            earlier = old.select("place", "block", "title", "ord", F.lit(False).alias("new")).join(new.select("block").distinct(), "block", "left_semi")
+            rows = rows.unionByName(earlier.select(rows.columns)).groupBy("place", "block", "title").agg(F.min("ord").alias("ord"), F.bool_or("new").alias("new"))
+
+        def pairs(batches: Iterator[pa.RecordBatch], borders: bool) -> Iterator[pa.RecordBatch]:
+            edge: list[tuple] = []
+            tail: deque[tuple] = deque(maxlen=how.window)
+
+            def read() -> Iterator[tuple]:
+                for batch in batches:
+                    for row in zip(*(batch.column(c).to_pylist() for c in ("block", "title", "ord", "new", "place")), strict=True):
+                        if len(edge) < how.window:
+                            edge.append(row)
+                        else:
+                            tail.append(row)
+                        yield row[:4]
+
+            def packed(found: list[tuple], rim: list[tuple]) -> pa.RecordBatch:
+                out = [(a, b, s, t, None, None, None) for a, b, s, t in found] + [(ord, None, None, title, place, block, new) for block, title, ord, new, place in rim]
+                columns = list(zip(*out, strict=True)) or [[]] * 7
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_())
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "s", "t", "place", "block", "new"])
+
+            found: list[tuple] = []
+            for pair in close_by(read(), how.window, how.edits):
+                found.append(pair)
+                if len(found) >= 10_000:
+                    yield packed(found, [])
+                    found = []
+            yield packed(found, [*edge, *tail] if borders else [])
+
+        shape = "a bigint, b bigint, s string, t string, place int, block bigint, new boolean"
+        sort = ["place", "block", "title"]
+        inside = materialise(rows.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(lambda x: pairs(x, True), shape), "pairs")
+        # At most twice the window for each part, however many rows it has.
+        rim = inside.where("block is not null").select("place", "block", F.col("t").alias("title"), F.col("a").alias("ord"), "new")
+        across = rim.repartition(1).sortWithinPartitions(*sort).mapInArrow(lambda x: pairs(x, False), shape)
+        met = inside.where("b is not null").select("a", "b", "s", "t").union(across.select("a", "b", "s", "t"))
+        s, t = F.col("s"), F.col("t")
+        short, long = F.least(F.length(s), F.length(t)), F.greatest(F.length(s), F.length(t))
+        inner = (t.startswith(s) | s.startswith(t)) & (short >= long * how.kept)
         # A slip of the pen changes a word a little; another name is another work.
-        words = F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: (x == y) | alike(x, y))
-        typed = (long - short <= how.edits) & (F.levenshtein(a, b, how.edits) >= 0) & F.forall(words, lambda same: F.coalesce(same, F.lit(False)))
-        close = (F.col("new") | F.col("p.new")) & (inside | typed)
-        return pairs.where(close).select(F.col("ord").alias("a"), F.col("p.ord").alias("b"))
+        words = F.zip_with(F.split(s, " "), F.split(t, " "), lambda x, y: (x == y) | alike(x, y))
+        typed = (long - short <= how.edits) & (F.levenshtein(s, t, how.edits) >= 0) & F.forall(words, lambda same: F.coalesce(same, F.lit(False)))
+        return met.where(inner | typed).select(F.col("b").alias("a"), F.col("a").alias("b"))
 
     def accepted(self) -> DataFrame:
         """(ord, root) of every row taken in that isn't the first of its work, over all batches."""
-        links = self.links[0]
-        if len(self.links) > 1:
-            edges = self.links[0]
-            for more in self.links[1:]:
-                edges = edges.union(more)
-            edges = materialise(edges.select(F.col("ord").alias("a"), F.col("root").alias("b")), "all-links")
+        paths = self.state["links"]
+        if not paths:
+            return self.spark.createDataFrame([], _LINK)
+        links = self.spark.read.schema(_LINK).parquet(*paths)
+        if len(paths) > 1:
+            edges = links.select(F.col("ord").alias("a"), F.col("root").alias("b"))
             # Only roots that another link leads on from need their component found.
             inner = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
             several = edges.join(edges.groupBy("a").count().where("count > 1").select("a"), "a", "left_semi")
@@ -267,6 +334,10 @@ class History:
         return links
 
 
+_ENTRY = "place int, block bigint, title string, ord bigint"
+_LINK = "ord bigint, root bigint"
+
+
 def rec_id(ord: Column) -> Column:
     """The row id in an order."""
     return ord.bitwiseAND(F.lit((1 << ID_BITS) - 1))

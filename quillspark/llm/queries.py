@@ -40,9 +40,10 @@ def p2_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     corpus = table(spark, folder, "corpus")
-    # All but the newest tenth of the batches are history that one bulk load takes in.
-    last = corpus.agg(F.expr("percentile_disc(0.9) within group (order by batch_no)")).first()[0]
-    found = repeats(corpus, [(None, last), (last, None)] if last is not None else [(None, None)])
+    # The older batches are a first load; the newer ones come in three steps, between which the runs are compacted.
+    cuts = corpus.agg(F.expr("percentile_disc(array(0.7, 0.8, 0.9)) within group (order by batch_no)")).first()[0]
+    cuts = sorted(set(cuts or []))
+    found = repeats(corpus, list(zip([None, *cuts], [*cuts, None], strict=True)))
     return found.select(F.least("rec_id", "accepted").alias("rec_id_a"), F.greatest("rec_id", "accepted").alias("rec_id_b"))
 
 
@@ -57,7 +58,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_matches(spark: SparkSession, folder: str) -> DataFrame:
-    return _p4(spark, folder).select(F.col("right_id").alias("rec_id"), F.col("left_id").alias("result_id"), "score", "confidence")
+    return _p4(spark, folder).select(F.col("right_id").alias("rec_id"), F.col("left_id").alias("result_id"), "score", "confidence", "found_by")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import encoding, lookalikes, packing, quality, scans, titles
 from quillspark.llm.components import connected
-from quillspark.llm.history import Neighbourhood, plain_doi, repeats
+from quillspark.llm.history import History, Neighbourhood, plain_doi, repeats
 from quillspark.llm.linkage import PLAIN, agreement_by_chance, calibration, match
 from quillspark.llm.survivors import key_year, survivor_fields, survivors
 
@@ -184,10 +184,49 @@ def truth(rows):
 @pytest.mark.parametrize("epochs", [[(None, None)], [(None, 3), (3, None)], [(None, 2), (2, 3), (3, 4), (4, 5), (5, None)]])
 def test_repeats_dont_depend_on_epochs(spark, epochs):
     rows = works()
-    got = repeats(corpus(spark, [r for _, r in rows]), epochs, Neighbourhood(ranges=4, runs=3))
+    got = repeats(corpus(spark, [r for _, r in rows]), epochs, Neighbourhood(runs=3))
     assert {(r.rec_id, r.accepted) for r in got.collect()} == truth(rows)
 
 
+def test_history_is_reopened_and_read_in_part(spark, tmp_path):
+    """Another session goes on; a batch of one workspace reads a part of the files; the result is that of one load."""
+    rows = [(w, (r[0], f"ws {r[0] % 40}", *r[2:])) for w, r in works(n=150)]
+    by_batch = lambda lo, hi: corpus(spark, [r for _, r in rows if lo <= r[2] < hi])
+    for lo, hi in ((1, 3), (3, 5)):
+        History(spark, Neighbourhood(runs=9, files=8), str(tmp_path / "h")).ingest(by_batch(lo, hi))
+    last = History(spark, Neighbourhood(runs=9, files=8), str(tmp_path / "h"))
+    assert len(last.state["runs"]) == 2 and last.version == 2
+    last.ingest(by_batch(5, 9).where("workspace = 'ws 7'"))
+    read, there = last.touched
+    assert 0 < read <= there / 2
+    last.ingest(by_batch(5, 9).where("workspace <> 'ws 7'"))
+    last.compact()
+    assert len(last.state["runs"]) == 1
+    again = History(spark, Neighbourhood(), str(tmp_path / "h")).accepted()
+    whole = History(spark)
+    whole.ingest(corpus(spark, [r for _, r in rows]))
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in whole.accepted().collect()}
+
+
+def test_window_finds_slips_wherever_they_are(spark):
+    """The share of slips found by the sorted windows alone, by the place of the slip, in one workspace of similar titles.
+
+    Slips are in words of four letters or more: one in a function word makes a content word of it."""
+    random.seed(4)
+    stem = ["effects of water on crop yield", "a study of sleep and memory", "trends in public transport use"]
+    titles_ = [f"{random.choice(stem)} in the {''.join(random.choice('bdfgklmnprstvz') + random.choice('aeiou') for _ in range(4))} region after {random.choice(['ten', 'two', 'six'])} {random.choice(['dry', 'wet', 'cold'])} years" for _ in range(400)]
+    rows, slips = [], {}
+    for k, t in enumerate(titles_):
+        rows.append(rec(2 * k, key=f"a {k}", ids={}, title=t))
+        spot = random.choice([k for k in range(len(t)) if len(t[: k + 1].rsplit(" ", 1)[-1] + t[k + 1 :].split(" ", 1)[0]) >= 4 and t[k] != " "])
+        rows.append(rec(2 * k + 1, key=f"b {k}", ids={}, title=t[:spot] + t[spot + 1 :]))
+        slips[2 * k + 1] = spot / len(t)
+    got = {r.rec_id for r in repeats(corpus(spark, rows), [(None, None)]).collect()}
+    for part in range(4):
+        here = [i for i, spot in slips.items() if part / 4 <= spot < (part + 1) / 4]
+        assert sum(i in got for i in here) >= 0.9 * len(here)
+
+
 def test_repeats_edge_cases(spark):
     assert repeats(corpus(spark, []), [(None, None)]).count() == 0
     same = rec(1, key="10.1/x", title="Preface", ids={"doi": "10.1234/a1"})
