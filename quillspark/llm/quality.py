@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 #: Common words of English, German, French and Spanish.
 COMMON = {
     "en": "the of and to in a is that for was with were by as on from not be at this are which or an had have has it its their they but we our no than when only how who been more most",
@@ -69,7 +71,7 @@ def statistics(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
         F.filter(F.transform(F.split("t", "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\p{Z}\t]+$|^[\p{Z}\t]+", ""))), lambda x: x != "").alias("ls"),
         F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*"), F.lit(0)).alias("ws"),
     )
-    common = F.lit(sorted({w for words in COMMON.values() for w in words.split()}))
+    common = sorted({w for words in COMMON.values() for w in words.split()})
     lines, words = F.size("ls").cast("double"), F.size("ws").cast("double")
     solid = _count(F.col("t"), r"[^\s\p{Z}]")
     among = lambda pattern: _share(F.size(F.filter("ls", lambda x: x.rlike(pattern))), F.col("lines"))
@@ -94,7 +96,7 @@ def statistics(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
         _share(_count(F.col("t"), r"\p{N}"), F.col("solid")).alias("digit_ratio"),
         _share(_count(F.col("t"), r"\p{Lu}"), F.col("solid")).alias("upper_ratio"),
         among(r"""[.!?:…]["'”’»)\]]*$""").alias("ended_lines"),
-        _share(F.size(F.filter("ws", lambda w: F.array_contains(common, w))), F.col("words")).alias("common_words"),
+        _share(F.size(F.filter("ws", lambda w: w.isin(*common))), F.col("words")).alias("common_words"),
         _share(F.col("words"), F.col("lines")).alias("words_per_line"),
         (F.col("words") / (_count(F.col("t"), r"""\p{Ll}["'”’»)\]]*[.!?](?=[\s\p{Z}]|$)""") + 1)).alias("words_per_stop"),
         among(r"^(?:[-–—*+•▪◦·‣]|\[[ xX]\]|\(?\d{1,3}[.)\]]|\(?[a-zA-Z][.)]|\[\d+\]|\|)\s?").alias("marked_lines"),
@@ -116,14 +118,12 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _COMMON = {w for words in COMMON.values() for w in words.split()}
 
 
-def label(text: str | None) -> int | None:
+def by_lines(text: str) -> int | None:
     """1 for a text made of list items, table rows or junk, 0 for prose, None where that is in doubt.
 
     Lines are weighed by their length.  Consecutive plain lines are read as one
     paragraph, so hard line breaks don't matter.
     """
-    if not text or not text.strip():
-        return None
     lines = re.split(r"\r\n?|\n", text)
     often = Counter(x.strip() for x in lines)
     odd = prose = doubt = 0
@@ -165,6 +165,38 @@ def label(text: str | None) -> int | None:
     return 1 if odd > 0.7 * total else 0 if prose > 0.6 * total else None
 
 
+def by_sentences(text: str) -> int | None:
+    """The same by how much of the text lies in sentences: at least six words, one in ten of them common, and a stop."""
+    inside = total = 0
+    for piece in re.split(r"(?<=[.!?])[\])\"'’”»]*\s+|\n\s*\n", text):
+        words = _WORD.findall(piece.lower())
+        total += len(piece)
+        if len(words) >= 6 and piece.rstrip("\"'’”»)] ")[-1:] in ".!?" and sum(w in _COMMON for w in words) >= 0.1 * len(words):
+            inside += len(piece)
+    return 0 if inside > 0.7 * total else 1 if inside < 0.15 * total else None
+
+
+def by_rhythm(text: str) -> int | None:
+    """The same by the places of common words: prose has some among any twenty words, lists and tables have stretches without."""
+    words = [w in _COMMON for w in _WORD.findall(text.lower())]
+    if len(words) < 20:
+        return None
+    windows = [sum(words[k : k + 20]) for k in range(0, len(words) - 19, 10)]
+    share = sum(n >= 2 for n in windows) / len(windows)
+    return 0 if share >= 0.8 else 1 if share <= 0.3 else None
+
+
+def label(text: str | None) -> int | None:
+    """What the lines of a text say, 1 for list, table or junk and 0 for prose, unless sentences and rhythm both speak
+    against it; None where that is in doubt, and for texts that are NULL, empty or blank."""
+    if not text or not text.strip():
+        return None
+    first = by_lines(text)
+    if first is None or by_sentences(text) in (None, first) or by_rhythm(text) in (None, first):
+        return first
+    return None
+
+
 @dataclass(frozen=True)
 class Rule:
     """A conjunction of thresholds: (feature, '<=' or '>', value)."""
@@ -253,9 +285,24 @@ def case_sql(rules: list[Rule]) -> str:
     return "case " + " ".join(f"when {rule.sql()} then {k}" for k, rule in enumerate(rules, 1)) + " else 0 end"
 
 
+def drawn(df: DataFrame, doc: str, text: str, sample: int) -> DataFrame:
+    """(doc, text) of at most ``sample`` documents that have text, those with the least hash of their id.
+
+    Only ids are counted, filtered and sorted; a hash bound taken from their number
+    keeps all but about twice the sample from the sort.  Texts are fetched for the
+    ids chosen, whose number the parameter bounds.
+    """
+    ids = df.where(F.length(F.trim(F.col(text))) > 0).select(doc, F.xxhash64(doc).alias("_h"))
+    n = ids.count()
+    bound = min(2**63 - 1, 2**64 * 2 * (sample + 100) // max(n, 1) - 2**63)
+    some = materialise(ids.where(F.col("_h") <= F.lit(bound)).orderBy("_h", doc).limit(sample).select(doc), "sample")
+    # The texts are few enough to be spread, and dear enough to be read side by side.
+    return df.select(doc, text).join(F.broadcast(some), doc, "left_semi").repartition(df.sparkSession.sparkContext.defaultParallelism, doc)
+
+
 def learn(df: DataFrame, doc: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list[Rule]:
     """Rules learned from at most ``sample`` documents, taken in the order of a hash of their id."""
-    some = df.where(F.length(F.trim(F.col(text))) > 0).select(doc, text).orderBy(F.xxhash64(doc), doc).limit(sample)
+    some = materialise(drawn(df, doc, text, sample), "drawn")
 
     @F.pandas_udf("int")
     def labelled(texts: pd.Series) -> pd.Series:
