@@ -217,6 +217,8 @@ class History:
         component as far as this batch shows it; :meth:`accepted` has the last word.
         """
         how = self.how
+        if len(self.state["runs"]) >= how.runs:
+            self.compact()
         known = rows.where((F.col("workspace") != "") & (F.col("key") != ""))
         filed = materialise(file_keys(known.select(order(F.col("batch_no"), F.col("rec_id")).alias("ord"), "workspace", "key", "ids", "title"), how), "filed")
         exact = filed.select("ord", "place", F.explode("keys").alias("block"))
@@ -259,8 +261,6 @@ class History:
         self.state["links"].append(path)
         self.state["runs"].append(self._write(new))
         self._commit()
-        if len(self.state["runs"]) >= how.runs:
-            self.compact()
         return self.spark.read.schema(_LINK).parquet(path)
 
     def _neighbours(self, new: DataFrame, old: DataFrame | None) -> DataFrame:

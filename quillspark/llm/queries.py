@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .encoding import encode
-from .history import repeats
+from .history import Neighbourhood, repeats
 from .linkage import corpus_year, match, result_year
 from .lookalikes import form_sql, same_look
 from .packing import pack, token_counts
@@ -40,10 +40,10 @@ def p2_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     corpus = table(spark, folder, "corpus")
-    # The older batches are a first load; the newer ones come in three steps, between which the runs are compacted.
-    cuts = corpus.agg(F.expr("percentile_disc(array(0.7, 0.8, 0.9)) within group (order by batch_no)")).first()[0]
+    # The older batches are a first load; the newer ones come in two steps, between which the runs are compacted.
+    cuts = corpus.agg(F.expr("percentile_disc(array(0.8, 0.9)) within group (order by batch_no)")).first()[0]
     cuts = sorted(set(cuts or []))
-    found = repeats(corpus, list(zip([None, *cuts], [*cuts, None], strict=True)))
+    found = repeats(corpus, list(zip([None, *cuts], [*cuts, None], strict=True)), Neighbourhood(runs=2))
     return found.select(F.least("rec_id", "accepted").alias("rec_id_a"), F.greatest("rec_id", "accepted").alias("rec_id_b"))
 
 
