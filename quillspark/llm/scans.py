@@ -213,11 +213,18 @@ def _rows(out: list[tuple], names: str, *kinds: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names.split())
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The batches cut small: a page as Python objects takes many times its bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _masks(pages: DataFrame, how: Scan) -> DataFrame:
     """(page_id, path, line, mask, edge) of the lines that aren't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             out: list[tuple] = []
             for page, path, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 lines = _lines(text)
@@ -256,7 +263,7 @@ def furniture(pages: DataFrame, how: Scan = Scan()) -> DataFrame:
     flagged = often.groupBy("page_id").agg(F.collect_list("line").alias("often"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             out = []
             for page, text, marks in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 gone = marked_lines(_lines(text), marks, how)
@@ -394,7 +401,7 @@ def _best(tos: list[tuple[str, list[float] | None]], around: list[str]) -> str:
     return tos[int(np.argmax(fit))][0]
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def direction(word: str, size: int = 128) -> np.ndarray:
     """The direction of a word as a context: random signs that depend on the word only."""
     seeds = [xxhash.xxh64_intdigest(word, seed=k) for k in range((size + 63) // 64)]
@@ -436,7 +443,7 @@ def vectors(pages: DataFrame, how: Scan = Scan()) -> DataFrame:
             ends = np.arange(0, len(flat) + 1, how.size, dtype=np.int32)
             return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.float32()))], ["word", "v"])
 
-        for batch in batches:
+        for batch in _few(batches):
             for text, lines, entries in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 known = {e["word"]: e["n"] for e in entries or [] if e["n"]}
                 wanted = {e["word"] for e in entries or [] if e["wanted"]}
@@ -452,7 +459,7 @@ def vectors(pages: DataFrame, how: Scan = Scan()) -> DataFrame:
                     if w in wanted:
                         v = sofar[min(len(words), k + how.window + 1)] - sofar[max(0, k - how.window)] - around[k + 1]
                         sums[w] = sums[w] + v if w in sums else v
-            if len(sums) > 20_000:
+            if len(sums) > 10_000:
                 yield flush()
                 sums.clear()
         yield flush()
@@ -532,7 +539,7 @@ def repairs(pages: DataFrame, how: Scan = Scan()) -> tuple[DataFrame, DataFrame]
     sheets = materialise(sheets, "sheets")
 
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             columns = zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)
             out = [(page, w, n) for page, text, lines, b, a in columns for w, n in lookups(text, lines, b, a).items()]
             yield _rows(out, "page_id word n", pa.int64(), pa.string(), pa.int32())
@@ -552,7 +559,7 @@ def repairs(pages: DataFrame, how: Scan = Scan()) -> tuple[DataFrame, DataFrame]
 
     def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("page_id", "path", "page_no", "text", "lines", "before", "after", "next_id", "next_no", "entries")
-        for batch in batches:
+        for batch in _few(batches):
             out = []
             for page, path, no, text, lines, b, a, next_id, next_no, entries in zip(*(batch.column(k).to_pylist() for k in names), strict=True):
                 kinds, flowed, ends = repaired(text, lines, b, a, Lexicon.of(entries))

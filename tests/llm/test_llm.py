@@ -211,14 +211,14 @@ def test_history_is_reopened_and_read_in_part(spark, tmp_path):
 def test_window_finds_slips_wherever_they_are(spark):
     """The share of slips found by the sorted windows alone, by the place of the slip, in one workspace of similar titles.
 
-    Slips are in words of four letters or more: one in a function word makes a content word of it."""
+    Slips are in content words: one in a function word makes a content word of it."""
     random.seed(4)
     stem = ["effects of water on crop yield", "a study of sleep and memory", "trends in public transport use"]
     titles_ = [f"{random.choice(stem)} in the {''.join(random.choice('bdfgklmnprstvz') + random.choice('aeiou') for _ in range(4))} region after {random.choice(['ten', 'two', 'six'])} {random.choice(['dry', 'wet', 'cold'])} years" for _ in range(400)]
     rows, slips = [], {}
     for k, t in enumerate(titles_):
         rows.append(rec(2 * k, key=f"a {k}", ids={}, title=t))
-        spot = random.choice([k for k in range(len(t)) if len(t[: k + 1].rsplit(" ", 1)[-1] + t[k + 1 :].split(" ", 1)[0]) >= 4 and t[k] != " "])
+        spot = random.choice([k for k in range(len(t)) if t[k] != " " and t[: k + 1].rsplit(" ", 1)[-1][:-1] + t[k:].split(" ", 1)[0] not in titles.FUNCTION_WORDS])
         rows.append(rec(2 * k + 1, key=f"b {k}", ids={}, title=t[:spot] + t[spot + 1 :]))
         slips[2 * k + 1] = spot / len(t)
     got = {r.rec_id for r in repeats(corpus(spark, rows), [(None, None)]).collect()}
