@@ -281,6 +281,20 @@ def test_match(spark):
     assert set(got) == want and all(0.5 <= c <= 1 for c in got.values())
 
 
+def test_titles_without_distinctive_words_meet_all_others(spark):
+    """Every word is common, and the shortened titles lack the rarest words of the whole ones, so that no key brings them together."""
+    random.seed(6)
+    names = ["".join(random.choice("bdfgklmnprstvz") + random.choice("aeiou") for _ in range(4)) for _ in range(40)]
+    whole = [random.sample(names, 9) for _ in range(40)]
+    n = {w: sum(w in t for t in whole) for w in names}
+    short = [[w for w in t if w in sorted(t, key=lambda w: (n[w], w))[4:]] for t in whole]
+    assert min(n.values()) > 4
+    kind = "id bigint, title string, year int"
+    left, right = (spark.createDataFrame([(i, " ".join(t), 1960 + i * 37 % 60) for i, t in enumerate(ts)], kind) for ts in (whole, short))
+    assert {(r.left_id, r.right_id, r.found_by) for r in match(left, right).collect()} >= {(i, i, "all") for i in range(40)}
+    assert {(r.left_id, r.right_id) for r in match(right, left).collect()} >= {(i, i) for i in range(40)}
+
+
 def test_match_of_nothing(spark):
     none = spark.createDataFrame([], "id bigint, title string, year int")
     assert match(none, none).count() == 0
