@@ -21,17 +21,19 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import drop_table, materialise, names_in, read_text, table_path, write_text
+from ..storage import drop_table, materialise, names_in, ranges_in, read_text, table_path, write_text
 from .components import connected
 from .titles import alike, read
 
@@ -142,20 +144,45 @@ def file_keys(rows: DataFrame, how: Neighbourhood) -> DataFrame:
     )
 
 
-def close_by(rows: Iterator[tuple], window: int, edits: int) -> Iterator[tuple]:
-    """Pairs (a, b, title a, title b) of sorted rows (block, title, ord, new) at most ``window`` apart in a block, one of
-    them new, that may be close: one begins the other, or they have as many words and about as many letters."""
-    last: deque[tuple] = deque(maxlen=window)
-    now = None
-    for block, title, ord, new in rows:
-        if block != now:
-            last.clear()
-            now = block
-        words = title.count(" ")
-        for old_title, old_ord, old_new, old_words in last:
-            if (new or old_new) and (abs(len(title) - len(old_title)) <= edits and words == old_words or title.startswith(old_title)):
-                yield old_ord, ord, old_title, title
-        last.append((title, ord, new, words))
+def one_each(rows: pa.Table) -> pa.Table:
+    """Sorted rows (block, title, ord, new, place) with one row for each block and title: its least order, new if any of them is."""
+    block, title = rows["block"].to_numpy(), rows["title"].combine_chunks()
+    same = (block[1:] == block[:-1]) & pc.equal(title[1:], title[:-1]).to_numpy(zero_copy_only=False)
+    if not same.any():
+        return rows
+    starts = np.flatnonzero(np.concatenate(([True], ~same)))
+    kept = rows.take(pa.array(starts))
+    for name, least in (("ord", np.minimum), ("new", np.logical_or)):
+        values = pa.array(least.reduceat(rows[name].to_numpy(), starts), rows.schema.field(name).type)
+        kept = kept.set_column(kept.schema.get_field_index(name), name, values)
+    return kept
+
+
+def close_by(rows: pa.Table, since: int, until: int, window: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, of sorted rows (block, title, new) at most ``window`` apart in a block, one of them new, that may be
+    close: one begins the other, or they have as many words and about as many letters.  j lies in [since, until)."""
+    block, new, title = rows["block"].to_numpy(), rows["new"].to_numpy(), rows["title"].combine_chunks().cast(pa.large_string())
+    letters, words = pc.utf8_length(title).to_numpy(), pc.count_substring(title, " ").to_numpy()
+    ends = np.frombuffer(title.buffers()[1], np.int64)[title.offset : title.offset + len(title) + 1]
+    data = np.frombuffer(title.buffers()[2] or b"", np.uint8)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for k in range(1, window + 1):
+        j = np.arange(max(since, k), until)
+        i = j - k
+        met = (block[i] == block[j]) & (new[i] | new[j])
+        i, j = i[met], j[met]
+        alike_ = (np.abs(letters[i] - letters[j]) <= edits) & (words[i] == words[j])
+        size = ends[i + 1] - ends[i]
+        maybe = ~alike_ & (size > 0) & (size <= ends[j + 1] - ends[j])
+        x, y, size = i[maybe], j[maybe], size[maybe]
+        # The last letters, then some before, rule most of them out.
+        for part in (1, 2, 4):
+            spot = (size - 1) // part
+            good = data[ends[x] + spot] == data[ends[y] + spot]
+            x, y, size = x[good], y[good], size[good]
+        begins = [n for n in range(len(x)) if title[y[n]].as_py().startswith(title[x[n]].as_py())]
+        found += [(i[alike_], j[alike_]), (x[begins], y[begins])]
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 class History:
@@ -186,7 +213,11 @@ class History:
         files = [f for run in self.state["runs"] for f in run["files"]]
         met = [f["path"] for f in files if places is None or any(p in places for p in range(f["low"], f["high"] + 1))]
         self.touched = (len(met), len(files))
-        return self.spark.read.schema(_ENTRY).parquet(*met) if met else None
+        if not met:
+            return None
+        entries = self.spark.read.schema(_ENTRY).parquet(*met)
+        # Few places are picked out of their files too.
+        return entries.where(F.col("place").isin(*places)) if places is not None and len(places) <= 100 else entries
 
     def _write(self, entries: DataFrame) -> dict:
         """Write keys as a sorted run and return what the manifest says of it."""
@@ -194,9 +225,8 @@ class History:
         sort = ["place", "block", "title"]
         cut = [self.how.files, *sort] if self.how.files else sort
         entries.select(*sort, "ord").repartitionByRange(*cut).sortWithinPartitions(*sort).write.option("compression", "zstd").parquet(path)
-        bounds = self.spark.read.schema(_ENTRY).parquet(path).select("place", F.col("_metadata.file_path").alias("path")).groupBy("path").agg(F.min("place").alias("low"), F.max("place").alias("high"))
-        # A row a file: as many as a listing of the folder has.
-        return {"path": path, "files": [r.asDict() for r in bounds.orderBy("path").collect()]}
+        # An entry a file: as many as a listing of the folder has.
+        return {"path": path, "files": [{"path": file, "low": low, "high": high} for file, low, high in ranges_in(self.spark, path, "place")]}
 
     def compact(self) -> None:
         """Merge all runs into one that keeps the first order of each key."""
@@ -270,43 +300,48 @@ class History:
         over tasks; the first and last rows of each part are compared across its borders.
         """
         how = self.how
-        rows = new.select("place", "block", "title", "ord", F.lit(True).alias("new"))
+        rows = new.select("block", "title", "ord", F.lit(True).alias("new"), "place")
         if old is not None:
-            earlier = old.select("place", "block", "title", "ord", F.lit(False).alias("new")).join(new.select("block").distinct(), "block", "left_semi")
-            rows = rows.unionByName(earlier.select(rows.columns)).groupBy("place", "block", "title").agg(F.min("ord").alias("ord"), F.bool_or("new").alias("new"))
+            rows = rows.unionByName(old.select("block", "title", "ord", F.lit(False).alias("new"), "place"))
 
         def pairs(batches: Iterator[pa.RecordBatch], borders: bool) -> Iterator[pa.RecordBatch]:
-            edge: list[tuple] = []
-            tail: deque[tuple] = deque(maxlen=how.window)
-
-            def read() -> Iterator[tuple]:
-                for batch in batches:
-                    for row in zip(*(batch.column(c).to_pylist() for c in ("block", "title", "ord", "new", "place")), strict=True):
-                        if len(edge) < how.window:
-                            edge.append(row)
-                        else:
-                            tail.append(row)
-                        yield row[:4]
-
-            def packed(found: list[tuple], rim: list[tuple]) -> pa.RecordBatch:
-                out = [(a, b, s, t, None, None, None) for a, b, s, t in found] + [(ord, None, None, title, place, block, new) for block, title, ord, new, place in rim]
-                columns = list(zip(*out, strict=True)) or [[]] * 7
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_())
-                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "s", "t", "place", "block", "new"])
+            # The last rows seen: the first ``done`` of them have had their pairs, the one after them may go on in the next batch.
+            rest, done, total = None, 0, 0
+            edge: list[pa.Table] = []
+            empty = lambda n, kind: pa.nulls(n, kind)
 
-            found: list[tuple] = []
-            for pair in close_by(read(), how.window, how.edits):
-                found.append(pair)
-                if len(found) >= 10_000:
-                    yield packed(found, [])
-                    found = []
-            yield packed(found, [*edge, *tail] if borders else [])
+            def packed(*columns: pa.Array | pa.ChunkedArray) -> pa.RecordBatch:
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_())
+                flat = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+                return pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(flat, kinds, strict=True)], ["a", "b", "s", "t", "place", "block", "new"])
+
+            for batch in chain(batches, [None]):
+                if batch is not None:
+                    if not batch.num_rows:
+                        continue
+                    more = pa.Table.from_arrays(batch.columns, names=batch.schema.names)
+                    rest = pa.concat_tables([rest, more]) if rest is not None else more
+                elif rest is None:
+                    return
+                table = one_each(rest).combine_chunks()
+                until = table.num_rows - (batch is not None)
+                i, j = (table.take(pa.array(x)) for x in close_by(table, done, until, how.window, how.edits))
+                yield packed(i["ord"], j["ord"], i["title"], j["title"], *(empty(i.num_rows, k) for k in (pa.int32(), pa.int64(), pa.bool_())))
+                if total < how.window:
+                    edge.append(table.slice(done, min(until - done, how.window - total)))
+                total += until - done
+                since = max(0, until - how.window)
+                rest, done = table.slice(since), until - since
+            if borders:
+                tail = min(how.window, max(0, total - how.window))
+                rim = pa.concat_tables([*edge, rest.slice(rest.num_rows - tail)])
+                yield packed(rim["ord"], empty(rim.num_rows, pa.int64()), empty(rim.num_rows, pa.string()), rim["title"], rim["place"], rim["block"], rim["new"])
 
         shape = "a bigint, b bigint, s string, t string, place int, block bigint, new boolean"
         sort = ["place", "block", "title"]
         inside = materialise(rows.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(lambda x: pairs(x, True), shape), "pairs")
         # At most twice the window for each part, however many rows it has.
-        rim = inside.where("block is not null").select("place", "block", F.col("t").alias("title"), F.col("a").alias("ord"), "new")
+        rim = inside.where("block is not null").select("block", F.col("t").alias("title"), F.col("a").alias("ord"), "new", "place")
         across = rim.repartition(1).sortWithinPartitions(*sort).mapInArrow(lambda x: pairs(x, False), shape)
         met = inside.where("b is not null").select("a", "b", "s", "t").union(across.select("a", "b", "s", "t"))
         s, t = F.col("s"), F.col("t")

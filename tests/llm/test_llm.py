@@ -3,12 +3,13 @@ import random
 from collections import defaultdict
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import encoding, lookalikes, packing, quality, scans, titles
 from quillspark.llm.components import connected
-from quillspark.llm.history import History, Neighbourhood, plain_doi, repeats
+from quillspark.llm.history import History, Neighbourhood, close_by, one_each, plain_doi, repeats
 from quillspark.llm.linkage import PLAIN, agreement_by_chance, calibration, match
 from quillspark.llm.survivors import key_year, survivor_fields, survivors
 
@@ -227,6 +228,25 @@ def test_window_finds_slips_wherever_they_are(spark):
         assert sum(i in got for i in here) >= 0.9 * len(here)
 
 
+def test_windows_against_brute_force():
+    """Columns at once find the pairs that comparing row by row finds."""
+    random.seed(1)
+    title = lambda: " ".join(random.choice(["aé", "ab", "abc", "x"]) for _ in range(random.randint(1, 5)))
+    for size in (1, 2, 9, 100):
+        rows = sorted((random.randint(0, 3), title(), n, random.random() < 0.3, 0) for n in range(size))
+        merged = {}
+        for block, text, n, new, _ in rows:
+            least, any_new = merged.get((block, text), (n, new))
+            merged[block, text] = (min(least, n), any_new or new)
+        flat = [(*key, *value) for key, value in merged.items()]
+        close = lambda s, t: t.startswith(s) or abs(len(s) - len(t)) <= 3 and s.count(" ") == t.count(" ")
+        want = {(a[2], b[2]) for k, a in enumerate(flat) for b in flat[k + 1 : k + 5] if a[0] == b[0] and (a[3] or b[3]) and close(a[1], b[1])}
+        table = one_each(pa.table(list(map(list, zip(*rows, strict=True))), ["block", "title", "ord", "new", "place"]))
+        i, j = close_by(table, 0, table.num_rows, 4, 3)
+        order = table["ord"].to_pylist()
+        assert {(order[a], order[b]) for a, b in zip(i, j, strict=True)} == want
+
+
 def test_repeats_edge_cases(spark):
     assert repeats(corpus(spark, []), [(None, None)]).count() == 0
     same = rec(1, key="10.1/x", title="Preface", ids={"doi": "10.1234/a1"})
